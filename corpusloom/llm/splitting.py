@@ -70,31 +70,54 @@ def best_cuts(n: int, natural: dict[int, float], max_words: int, overlap: int) -
         return [(n, 0.0)]
     candidates, at = [0], 0
     for b in [*sorted(natural), n]:
+        if b <= overlap:  # the first piece is longer than what the second repeats of it
+            continue
         if b - at > max(1, reach // 2):
-            candidates.extend(range(at + 1, b))
-        if 0 < b < n:
+            candidates.extend(range(max(at, overlap) + 1, b))
+        if b < n:
             candidates.append(b)
         at = b
     candidates.append(n)
     pieces = max(2, -(-(n - overlap) // reach))
     ideal = (n - overlap) / pieces + overlap
-    best, back, low = [0.0] * len(candidates), [-1] * len(candidates), 0
-    for j in range(1, len(candidates)):
-        c = candidates[j]
-        cost = natural.get(c, GAP) if c < n else 0.0
-        while c - candidates[low] > (max_words if low == 0 else reach):
-            low += 1
-        value, origin = float("inf"), -1
-        for i in range(low, j):
-            # the first piece has no overlap before it
-            size = c - candidates[i] + (overlap if i else 0)
-            v = best[i] + ((size - ideal) / ideal) ** 2
-            if v < value:
-                value, origin = v, i
-        best[j], back[j] = value + cost, origin
-    cuts, j = [], len(candidates) - 1
+    # where a piece from a candidate starts; the first has no overlap before it
+    origin = [0, *(c - overlap for c in candidates[1:])]
+    best, back = [0.0] * len(candidates), [0] * len(candidates)
+
+    def value(i: int, j: int) -> float:
+        size = candidates[j] - origin[i]
+        d = (size - ideal) / ideal
+        # beyond the limit the cost rises so steeply that only pieces within it are chosen; it stays convex
+        return best[i] + d * d if size <= max_words else best[i] + d * d + 1e6 * (size - max_words)
+
+    # The cost of a piece is convex in its size, so a later origin, once better, stays better for all later ends:
+    # the queue has each origin with the first end that it is best for.
+    queue, head, last = [(0, 1)], 0, len(candidates) - 1
+    for j in range(1, last + 1):
+        while head + 1 < len(queue) and queue[head + 1][1] <= j:
+            head += 1
+        i = queue[head][0]
+        best[j], back[j] = value(i, j) + (natural.get(candidates[j], GAP) if j < last else 0.0), i
+        while len(queue) > head:
+            k, since = queue[-1]
+            since = max(since, j + 1)
+            if since > last or value(j, since) > value(k, since):
+                break
+            queue.pop()
+        if len(queue) == head:
+            queue.append((j, j + 1))
+        elif j < last and value(j, last) <= value(queue[-1][0], last):
+            low, high, k = max(queue[-1][1], j + 1), last, queue[-1][0]
+            while high - low > 1:
+                middle = (low + high) // 2
+                if value(j, middle) <= value(k, middle):
+                    high = middle
+                else:
+                    low = middle
+            queue.append((j, high))
+    cuts, j = [], last
     while j > 0:
-        cuts.append((candidates[j], natural.get(candidates[j], GAP) if candidates[j] < n else 0.0))
+        cuts.append((candidates[j], natural.get(candidates[j], GAP) if j < last else 0.0))
         j = back[j]
     return cuts[::-1]
 
