@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import boilerplate, leakage, packing, splitting
+from corpusloom.llm import boilerplate, leakage, packing, scans, splitting, toxicity
 from corpusloom.runtime import table
 
 MAX_WORDS, OVERLAP, CAPACITY = 400, 40, 1024
@@ -20,6 +20,14 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_documents(table(spark, folder, "store_documents"), MAX_WORDS, OVERLAP)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.scan_noise(table(spark, folder, "store_documents")).distinct()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired(table(spark, folder, "store_documents"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, folder, "store_documents")).select("source", "line_text")
 
@@ -51,9 +59,26 @@ def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels, terms = (table(spark, folder, n) for n in ("documents", "abuse_labels", "abuse_terms"))
+    return toxicity.score_documents(documents, toxicity.fit(documents, labels, terms))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).filter("toxic").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder)
+
+
+def p9_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.source_rates(_scored(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p6_found, p6_clean, p7_found, p7_containers, p7_assignment, p8_found, p8_matches)
+    for f in (p2_found, p2_pieces, p3_found, p3_repaired, p6_found, p6_clean, p7_found, p7_containers, p7_assignment, p8_found, p8_matches, p9_found, p9_scores, p9_source_rates)
 }
 
 WORD_COUNT = r"len(regexp_extract_all({}, '[^ \t\n\r\f]+'))"
