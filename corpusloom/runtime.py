@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python's ``str.strip`` set, for trims that must agree with text written by other tools.
-BLANK = r"[\s   -     　\x1c-\x1f\x85]"
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
