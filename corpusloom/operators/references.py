@@ -34,10 +34,9 @@ def number_key(c: Column) -> Column:
 
 def _coded(df: DataFrame, key: str) -> DataFrame:
     """``df`` with ``ns``, ``num`` and ``block`` of the key."""
-    parts = F.regexp_extract(key, r"^(?s)(.*?)(\d{1,15})(\D*)$", 0)
     head, digits, tail = (F.regexp_extract(key, r"^(?s)(.*?)(\d{1,15})(\D*)$", i) for i in (1, 2, 3))
-    split = parts != ""
-    width = F.when(digits.startswith("0"), F.length(digits)).otherwise(0)
+    split = digits != ""
+    width = F.when(digits.startswith("0") & (F.length(digits) > 1), F.length(digits)).otherwise(0)
     ns = F.when(split, F.concat_ws("\x1f", head, tail, width.cast("string"))).otherwise(F.col(key))
     num = F.when(split, digits.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     return df.withColumns({"ns": ns, "num": num}).withColumn("block", F.floor(F.col("num") / SPAN))

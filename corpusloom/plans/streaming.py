@@ -40,7 +40,7 @@ def approx_topk(spark, folder):
     c = retrieval._chunks(spark, folder)
     centroids = ann.fit_cells(c, 16)
     path = ann.build_index(c, centroids)
-    return ann.approximate_top_k(spark, path, centroids, retrieval._queries(c), retrieval.K, 10)
+    return ann.approximate_top_k(spark, path, centroids, retrieval._queries(c), retrieval.K, 14)
 
 
 QUERIES = {f.__name__: f for f in (stream_event_windows, stream_event_types, approx_topk)}

@@ -19,6 +19,7 @@ def current_feedback_stream(events: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "2 hours", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Events and their values per window and key; rows later than ``late`` are dropped by the watermark."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     marked = events.withWatermark(time, late) if events.isStreaming else events
     grouped = marked.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), *keys, "n_events", "total")
@@ -26,6 +27,7 @@ def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour",
 
 def session_windows(events: DataFrame, time: str = "ts", gap: str = "60 minutes", key: str = "user_id") -> DataFrame:
     """Sessions of a key that end after a gap (STR-04 in batch)."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     marked = events.withWatermark(time, gap) if events.isStreaming else events
     return marked.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
