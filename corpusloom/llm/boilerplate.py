@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusloom.runtime import materialize
 
@@ -192,7 +193,8 @@ def without_lines(df: DataFrame, lines: DataFrame, source: str = "source", conte
     for r in lists.collect():
         found[r["source"]].add(r["line_text"])
     shared = df.sparkSession.sparkContext.broadcast(dict(found))
-    schema = df.schema.add("clean_content", "string")
+    df = df.drop("clean_content")
+    schema = StructType([*df.schema.fields, StructField("clean_content", StringType())])
     at, src = df.columns.index(content), df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,7 +149,7 @@ def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarra
         runs = longest_runs(hits)
         # offsets that occur in order within slack places of a start, in any window of twice the length
         near = hits.copy()
-        few = np.flatnonzero((runs < length) & (hits.sum(axis=1) * 2 >= length))
+        few = np.flatnonzero((runs < length) & (hits.sum(axis=1) >= length // 2))
         if slack and few.size:
             for p, w in enumerate(passage):
                 own = lists.get(w, empty)

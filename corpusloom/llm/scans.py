@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 #: Least share of all words, and least count, of a frequent word; so there are at most 1 / VOCABULARY_SHARE of them.
 VOCABULARY_SHARE, MIN_COUNT = 1e-5, 3
 #: A word this many times rarer than one that explains it by a glyph edit is a misreading, if it is used alike.
-RATIO, ALIKE = 40, 0.25
-WINDOW, DIMENSIONS, NEGATIVES, ROUNDS, TRAINERS = 2, 24, 4, 3, 4
+RATIO, ALIKE = 40, 0.5
+WINDOW, DIMENSIONS, NEGATIVES, ROUNDS, TRAINERS, STEPS = 2, 24, 4, 3, 4, 4
 #: Glyph confusions of optical character recognition, as read -> as printed.
 GLYPHS = {
     "0": ["o"], "1": ["i", "l"], "!": ["i", "l"], "|": ["l", "i"], "2": ["z"], "3": ["e"], "4": ["a"], "5": ["s"], "6": ["b", "ó"],
@@ -36,7 +36,7 @@ GLYPHS = {
     "ii": ["u"], "cl": ["d"], "li": ["h"], "vv": ["w"], "\\/": ["v"], "á~": ["ã"], "a~": ["ã"], "ó~": ["õ"], "o~": ["õ"],
     "ç,": ["ç"], "c,": ["ç"], "í": ["i"], "ì": ["í"], "ﬁ": ["fi"], "ﬂ": ["fl"],
 }
-MAX_EDITS = 3
+MAX_EDITS, SHORTEST = 3, 4
 HYPHENS = "-‐­¬"
 EDGES = ".,;:()[]{}\"'“”‘’«»?!…*"
 #: Parts after a hyphen that belong to the written word: enclitic pronouns.
@@ -217,7 +217,21 @@ def on_pages(places: list[int]) -> int:
 
 def looks_like_header(line: str) -> bool:
     s = line.strip()
-    return 3 < len(s) <= 110 and s[-1] not in ".;,:" and any(c.isalpha() for c in s) and not s[0].islower()
+    return 3 < len(s) <= 110 and s[-1] not in ".;,:" and s[-1] not in HYPHENS and any(c.isalpha() for c in s) and not s[0].islower()
+
+
+class Codes(dict):
+    """Codes of raw tokens by the vocabulary, -1 for others; kept as they are met."""
+
+    def __init__(self, index: dict[str, int]):
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, token: str) -> int:
+        code = self.index.get(core(token), -1)
+        if len(self) < 500_000:
+            self[token] = code
+        return code
 
 
 def pair_and_template_counts(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -228,7 +242,7 @@ def pair_and_template_counts(docs: DataFrame, vocabulary: dict[str, int]) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, size = shared.value, len(shared.value)
         index = {w: i for i, w in enumerate(words)}
-        memo: dict[str, int] = {}
+        code_of = Codes(index).__getitem__
         reader, seen, repeated = Reader(words), Counter(), Counter()
         codes: list[int] = []
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -248,13 +262,7 @@ def pair_and_template_counts(docs: DataFrame, vocabulary: dict[str, int]) -> Dat
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w in _token(t):
-                    code = memo.get(w)
-                    if code is None:
-                        code = index.get(core(w), -1)
-                        if len(memo) < 500_000:
-                            memo[w] = code
-                    codes.append(code)
+                codes.extend(map(code_of, _token(t)))
                 codes.extend([-1] * WINDOW)
                 if len(codes) > 2_000_000:
                     keys, counts = fold(keys, counts)
@@ -301,12 +309,12 @@ def train_step(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: np.ndarray, c
         g = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", v, u), -8, 8)))
         g[:, 0] -= 1
         step_v, step_u = np.einsum("nk,nkd->nd", g, u), g[:, :, None] * v[:, None, :]
-        # several updates of one row in a batch are averaged, so frequent words don't overshoot
+        # updates of one row in a batch are averaged beyond a few, so frequent words don't overshoot
         for table, rows, step in ((words, i, step_v), (contexts, j.ravel(), step_u.reshape(-1, v.shape[1]))):
             unique, place = np.unique(rows, return_inverse=True)
             total = np.zeros((unique.size, v.shape[1]))
             np.add.at(total, place, step)
-            table[unique] -= rate * total / np.sqrt(np.bincount(place))[:, None]
+            table[unique] -= rate * total * np.minimum(1, STEPS / np.bincount(place))[:, None]
 
 
 def train_vectors(pairs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -364,11 +372,27 @@ class Repairer(Reader):
         #: frequent words that are themselves misreadings of far more frequent ones, used alike
         self.demoted = set()
         for w, n in vocabulary.items():
-            for c in glyph_candidates(w, vocabulary):
+            for c in glyph_candidates(w, vocabulary) if len(w) >= SHORTEST else ():
                 i, j = self.index[w], self.index[c]
                 if vocabulary[c] >= RATIO * n and (n < 2 * MIN_COUNT or words[i] @ words[j] / length[i] / length[j] >= ALIKE):
                     self.demoted.add(w)
         self.candidates_of: dict[str, list[str]] = {}
+        #: tokens that are known not to be misread; first words of known templates
+        self.fine: set[str] = set()
+        self.starts = {t.split()[0] for t in templates} | self.heads
+
+    def all_fine(self, tokens: list[str]) -> bool:
+        """Whether no token is misread; one pass over a set for lines of known tokens."""
+        if self.fine.issuperset(tokens):
+            return True
+        ok = True
+        for t in tokens:
+            if t not in self.fine:
+                if self.options(t):
+                    ok = False
+                elif len(self.fine) < 500_000:
+                    self.fine.add(t)
+        return ok
 
     def good(self, word: str) -> bool:
         return word in self.vocabulary and word not in self.demoted
@@ -380,7 +404,8 @@ class Repairer(Reader):
             w = core(token)
             hit = []
             if w and not self.good(w) and any(c.isalpha() for c in w) and not _code(token.strip(EDGES)) and not (_roman(w) and len(w) < 8) and not w[0] == "-":
-                forms = [w] if len(w) > 1 else []
+                # a short word of letters only is as well a word, or a part of one, as a misreading
+                forms = [w] if len(w) >= SHORTEST or len(w) > 1 and not w.isalpha() else []
                 stripped = token.rstrip(".,;:)?…\"'").lower()
                 if stripped.endswith("!") and len(stripped) > 1:
                     forms.append(stripped.lstrip(EDGES))
@@ -429,11 +454,16 @@ class Repairer(Reader):
         # unit names are written in title case or capitals, unlike running text that begins with the same word
         return all(w[0].isupper() or not w[0].isalpha() for w in re.sub(r"\W+", " ", line).split() if len(w) > 3 and not w[0].isdigit())
 
+    def may_start(self, line: str) -> bool:
+        """Whether a line's first word begins a known template, or is a name that stands for any."""
+        first = core(line.split(None, 1)[0])
+        return first in self.starts or first not in self.vocabulary
+
     def furniture(self, lines: list[str]) -> tuple[set[int], set[int]]:
         """Indices of headers (or footers) and of page numbers."""
         folios = folio_lines(lines)
         edge = page_neighbours(lines, folios)
-        suspects = {i: self.template(lines[i]) for i, line in enumerate(lines) if looks_like_header(line)}
+        suspects = {i: self.template(line) for i, line in enumerate(lines) if looks_like_header(line) and (i in edge or self.may_start(line))}
         places: dict[str, list[int]] = defaultdict(list)
         for i in sorted(edge):
             if i in suspects:
@@ -487,7 +517,7 @@ class Repairer(Reader):
                             out.append((body[k + 1] + 1, "misread"))
                 else:
                     last -= 1
-            misread = misread or any(self.options(t) for t in tokens[first:last])
+            misread = misread or not self.all_fine(tokens[first:last] if first or last < len(tokens) else tokens)
             if misread:
                 out.append((i + 1, "misread"))
         return sorted(set(out))
