@@ -7,6 +7,7 @@ A null text stays null.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,6 +110,14 @@ def drop_repeated(c: Column, pattern: str) -> Column:
     return F.when(F.regexp_count(c, F.lit(pattern)) > 1, F.regexp_replace(c, pattern, "")).otherwise(c)
 
 
+def _dropping(pattern: str) -> Callable[[Column], Column]:
+    return lambda c: F.regexp_replace(c, pattern, "")
+
+
+def _dropping_repeated(pattern: str) -> Callable[[Column], Column]:
+    return lambda c: drop_repeated(c, pattern)
+
+
 def clean(df: DataFrame, content: str = "content", out: str = "clean") -> DataFrame:
     """``df`` with the cleaned content, and the characters and percentage removed (FN-13).
 
@@ -117,9 +126,9 @@ def clean(df: DataFrame, content: str = "content", out: str = "clean") -> DataFr
     work = df.withColumn("_t", nfkc(F.col(content)))
     steps = [
         strip_controls,
-        *[lambda c, p=p: F.regexp_replace(c, p, "") for p in PORTAL_LINES],
+        *map(_dropping, PORTAL_LINES),
         drop_garbled_lines,
-        *[lambda c, p=p: drop_repeated(c, p) for p in REPEATED_HEADERS],
+        *map(_dropping_repeated, REPEATED_HEADERS),
         drop_page_numbers,
         lambda c: F.regexp_replace(F.regexp_replace(c, TOC_LINES, ""), SEPARATORS, ""),
         straight_quotes,

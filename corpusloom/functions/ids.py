@@ -80,7 +80,7 @@ def file_safe(c: Column) -> Column:
 
 def csv_set(c: Column) -> Column:
     """Trimmed, non-empty members of a comma-separated list (FN-40)."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def urn_parts(urn: Column) -> dict[str, Column]:
