@@ -40,7 +40,7 @@ REPEATED_HEADERS = [
     r"(?imud)^\s*RBAC\s+n[°º]?\s*\d+\s+EMD\s+\d+\s*$",
 ]
 TOC_LINES, SEPARATORS = r"(?md)^.*\.{5,}\s*\d+\s*$", r"(?md)^\s*[_\-=]{5,}\s*$"
-VOWELS = "aeiouáéíóúàâêôãõü"
+VOWELS = "aeiouáéíóúàâêôãõ"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -21,6 +21,7 @@ REVOKED = [
     r"(?iu)revogad[ao]\s+(?:pela?|por)\b",
     r"(?iu)(?:esta|a\s+presente)\s+\S+\s+.*?\brevogad[ao]",
     r"(?iu)perde(?:rá)?\s+(?:sua\s+)?vigência",
+    r"(?iu)deixa(?:rá)?\s+de\s+vigorar",
 ]
 
 

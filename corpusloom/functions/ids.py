@@ -10,11 +10,32 @@ from pyspark.sql import functions as F
 
 #: White space as Python's ``str.split`` knows it, for Java's regular expressions.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Names of document types and their short forms.
+#: Document types as they are written out.
 DOC_TYPES = {
-    "resolução": "RESOLUCAO", "resolucao": "RESOLUCAO", "portaria": "PORTARIA", "instrução": "INSTRUCAO", "instrucao": "INSTRUCAO",
-    "circular": "CIRCULAR", "regra": "REGRA", "decreto": "DECRETO", "lei": "LEI", "ica": "ICA", "mca": "MCA",
-}
+    "PORTARIA": "Portaria",
+    "PORTARIA CONJUNTA": "Portaria Conjunta",
+    "INSTRUÇÃO NORMATIVA": "Instrução Normativa",
+    "INSTRUCAO NORMATIVA": "Instrução Normativa",
+    "LEI": "Lei",
+    "LEI COMPLEMENTAR": "Lei Complementar",
+    "DECRETO": "Decreto",
+    "DECRETO - LEI": "Decreto-Lei",
+    "DECRETO-LEI": "Decreto-Lei",
+    "MEDIDA PROVISÓRIA": "Medida Provisória",
+    "RESOLUÇÃO": "Resolução",
+    "RESOLUCAO": "Resolução",
+    "CONSTITUIÇÃO FEDERAL": "Constituição Federal",
+    "ORDEM TÉCNICA": "Ordem técnica",
+    "ORIENTAÇÃO NORMATIVA": "Orientação normativa",
+    "MANUAL ELETRÔNICO": "Manual Eletrônico",
+}
+
+
+def doc_type_name(c: Column) -> Column:
+    """A document type as it is written out, others in capitals (FN-23); null for an empty one."""
+    upper = F.nullif(F.upper(squeeze(c)), F.lit(""))
+    known = F.create_map(*(F.lit(x) for pair in DOC_TYPES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, upper), upper)
 
 
 def squeeze(c: Column) -> Column:
@@ -38,10 +59,9 @@ def split_version_year(number: Column) -> tuple[Column, Column]:
 def canonical_id(doc_type: Column, number: Column) -> Column:
     """``type_number`` without punctuation and without the type as a prefix of the number; null if a side is empty (FN-19)."""
     kind = F.regexp_replace(F.lower(doc_type), "[^a-z0-9]", "")
-    base, _ = split_version_year(number)
-    plain = F.lower(squeeze(base))
-    cut = F.when(plain.startswith(F.lower(squeeze(doc_type))), F.substr(plain, F.length(squeeze(doc_type)) + 1)).otherwise(plain)
-    digits = F.trim(F.regexp_replace(cut, "[^0-9a-z./-]", ""), F.lit("-./"))
+    prefix, compact = F.regexp_replace(F.upper(doc_type), " ", ""), F.regexp_replace(F.upper(number), " ", "")
+    rest = F.when(compact.startswith(prefix) & (F.length(number) > F.length(prefix)), F.substr(number, F.length(prefix) + 1)).otherwise(number)
+    digits = F.trim(F.regexp_replace(F.lower(rest), "[^0-9a-z./-]", ""), F.lit("-./"))
     return F.when((kind != "") & (digits != ""), F.concat_ws("_", kind, digits))
 
 
@@ -66,11 +86,19 @@ def base_document(regulation_id: Column) -> Column:
     return F.split_part(F.split_part(regulation_id, F.lit("-chunk-"), F.lit(1)), F.lit("-art"), F.lit(1))
 
 
+def _type_first(raw: Column, pattern: str) -> Column:
+    kind, rest = F.regexp_extract(raw, pattern, 1), F.regexp_extract(raw, pattern, 2)
+    return F.when(rest != "", F.concat(F.regexp_replace(F.lower(kind), "[^a-z0-9]", ""), F.lit("_"), rest)).otherwise(raw)
+
+
 def golden_id(raw: Column) -> Column:
-    """An expected id as the index writes it: ``ICA-96-1-art563`` as ``ica_96-1-art563``, without a version (FN-20)."""
-    lowered = F.lower(squeeze(raw))
-    typed = F.regexp_replace(lowered, r"^([a-z]+)[-_ ](?=[0-9])", "$1_")
-    return F.regexp_replace(typed, r"/[0-9]{4}(?=$|-art|-chunk)", "")
+    """An expected id as the index writes it, without a version: ``ICA-96-1/2020-art563`` as ``ica_96-1-art563`` (FN-20)."""
+    return F.regexp_replace(_type_first(raw, r"^(?s)([A-Za-z]+(?:\s+[A-Za-z]+)*)-(.+)$"), r"/[0-9]{4}(?=$|-art)", "")
+
+
+def audit_id(raw: Column) -> Column:
+    """The same for audits, which know types with digits and dots, and drop years anywhere (FN-21)."""
+    return F.regexp_replace(_type_first(raw, r"^(?s)([A-Za-z][A-Za-z0-9.]*)[-_](.+)$"), r"/[0-9]{4}", "")
 
 
 def file_safe(c: Column) -> Column:
@@ -97,11 +125,9 @@ def urn_parts(urn: Column) -> dict[str, Column]:
 
 
 def title_parts(title: Column) -> tuple[Column, Column]:
-    """Type and number at the start of a title: ``TYPE [Nº] NUMBER`` (FN-22, FN-23)."""
+    """Type and number at the start of a title: ``TYPE [Nº] NUMBER`` (FN-22)."""
     pattern = r"^\s*(\p{L}[\p{L} ]*?)\s+(?:[Nn][º°o.]+\s*)?([0-9][0-9A-Za-z./-]*)"
-    kind = F.regexp_extract(title, pattern, 1)
-    known = F.create_map(*(F.lit(x) for pair in DOC_TYPES.items() for x in pair))
-    return F.nullif(F.coalesce(F.try_element_at(known, F.lower(kind)), F.upper(kind)), F.lit("")), F.nullif(F.regexp_extract(title, pattern, 2), F.lit(""))
+    return doc_type_name(F.regexp_extract(title, pattern, 1)), F.nullif(F.regexp_extract(title, pattern, 2), F.lit(""))
 
 
 def first_filled(*columns: Column) -> Column:

@@ -7,10 +7,32 @@ from pyspark.sql import functions as F
 
 #: Gains, and the phrases of answers that say nothing or hedge.
 GAIN = {"relevant": 2.0, "moderate": 1.0}
-EMPTY_PHRASES = ["não encontrei", "não foi possível encontrar", "não há informações", "nenhum documento", "não consta", "não localizei", "sem informações"]
-HEDGE_PHRASES = ["possivelmente", "provavelmente", "talvez", "pode ser que", "acredito que", "é possível que", "aparentemente", "não tenho certeza", "parece que", "suponho"]
-CITATION = r"\[([A-Za-z]{2,}[-_ ]?[0-9][0-9A-Za-z./_-]*)\]"
-LOOSE_CITATION = r"\b([A-Z]{2,}[-_ ][0-9][0-9A-Za-z./_-]*)"
+EMPTY_PHRASES = [
+    r"não encontrei",
+    r"não há informação",
+    r"não consta",
+    r"não foi possível encontrar",
+    r"não está disponível",
+    r"não possuo informação",
+    r"informação não está nos documentos",
+]
+HEDGE_PHRASES = [
+    r"possivelmente",
+    r"provavelmente",
+    r"acredito que",
+    r"pode ser que",
+    r"é possível que",
+    r"talvez",
+    r"não tenho certeza",
+    r"pelo que sei",
+    r"pelo meu conhecimento",
+    r"de modo geral",
+]
+CITATION = r"\[([A-ZÁÉÍÓÚÂÊÔÃÕÇa-z][A-ZÁÉÍÓÚÂÊÔÃÕÇa-z.]{2,12}\s+[\d./-]+(?:-art\d+(?:-\d+)?)?)\]"
+LOOSE_CITATION = (
+    r"(?i)((?:ICA|DCA|MCA|PCA|TCA|FCA|OCA|NSCA|RCA|ROCA|RICA|NPA|CIRCEA|BCA|BMA|IMA|RIMA|RMA)"
+    r"[- ]?\d+[- ]?\d*(?:-art\d+)?)"
+)
 
 
 def _matches(hit: Column, expected: Column) -> Column:
@@ -103,8 +125,8 @@ def verdict(text: Column) -> Column:
 def response_metrics(responses: DataFrame) -> DataFrame:
     """Rates over answers (``response``, ``sources`` as ids): empty, citing, hedging, and grounded citations over all (AGG-19, AGG-21)."""
     cited = responses.select("response", citations(F.col("response")).alias("c"), "sources")
-    own = cited.select("response", "c", F.filter("c", lambda x: F.exists("sources", lambda s: _matches(s, F.lower(x)) | _matches(F.lower(x), s))).alias("g"))
-    rate = lambda b: F.coalesce(F.avg(b.cast("int")), F.lit(0.0))
+    own = cited.select("response", "c", F.filter("c", lambda x: F.exists("sources", lambda s: _matches(s, x) | _matches(x, s))).alias("g"))
+    rate = lambda b: F.coalesce(F.avg(F.coalesce(b, F.lit(False)).cast("int")), F.lit(0.0))
     return own.agg(
         F.count(F.lit(1)).alias("n_responses"),
         rate(says_nothing(F.col("response"))).alias("empty_rate"),

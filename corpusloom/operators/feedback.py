@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import strip
+
 #: What events may say.
 KINDS = ["thumbs", "star", "comment", "clear"]
 CATEGORIES = ["relevance", "clarity", "completeness", "accuracy", "overall"]
@@ -51,9 +53,9 @@ def previous_question(messages: DataFrame) -> DataFrame:
 
 def chat_title(messages: DataFrame, most: int = 50) -> DataFrame:
     """First user message that isn't blank, on one line, cut at a word (PRJ-16, SNK-19)."""
-    asked = messages.filter((F.col("role") == "user") & (F.trim("content") != ""))
-    first = asked.groupBy("session_id").agg(F.min_by(F.trim(F.regexp_replace("content", r"\s*\n\s*", " ")), "turn").alias("t"))
-    cut = F.regexp_replace(F.substring("t", 1, most), r"\s\S*$", "")
+    asked = messages.filter((F.col("role") == "user") & (strip(F.col("content")) != ""))
+    first = asked.groupBy("session_id").agg(F.min_by(strip(F.translate("content", "\n", " ")), "turn").alias("t"))
+    cut = F.regexp_replace(F.substring("t", 1, most), r" [^ ]*$", "")
     return first.select("session_id", F.when(F.length("t") <= most, F.col("t")).otherwise(F.concat(cut, F.lit("..."))).alias("title"))
 
 

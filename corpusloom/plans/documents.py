@@ -170,16 +170,16 @@ _FIRST = """(SELECT * FROM store_documents QUALIFY row_number() OVER (PARTITION
 
 SQL = {
     "content_hash": f"SELECT doc_id, sha256({_SQUEEZE('lower(text)')}) AS content_hash FROM documents",
-    "canonical_id": """WITH d AS (SELECT DISTINCT doc_id, doc_type, number FROM store_documents),
-        p AS (SELECT doc_id, regexp_replace(lower(doc_type), '[^a-z0-9]', '', 'g') AS kind,
-              trim(regexp_replace(CASE WHEN starts_with(n, lower(trim(doc_type))) THEN substr(n, length(trim(doc_type)) + 1) ELSE n END, '[^0-9a-z./-]', '', 'g'), '-./') AS num
-              FROM (SELECT *, regexp_replace(lower(trim(number)), '/[0-9]{4}$', '') AS n FROM d))
+    "canonical_id": """WITH d AS (SELECT DISTINCT doc_id, doc_type, number, replace(upper(doc_type), ' ', '') AS prefix FROM store_documents),
+        p AS (SELECT doc_id, regexp_replace(lower(doc_type), '[^a-z0-9]', '', 'g') AS kind, trim(regexp_replace(lower(CASE WHEN starts_with(replace(upper(number), ' ', ''), prefix) AND length(number) > length(prefix)
+              THEN substr(number, length(prefix) + 1) ELSE number END), '[^0-9a-z./-]', '', 'g'), '-./') AS num FROM d)
         SELECT doc_id, CASE WHEN kind <> '' AND num <> '' THEN kind || '_' || num END AS canonical FROM p""",
     "version_split": r"""SELECT DISTINCT doc_id, regexp_replace(trim(doc_id), '/[0-9]{4}$', '') AS base, nullif(regexp_extract(trim(doc_id), '/([0-9]{4})$', 1), '') AS year FROM store_documents""",
     "urn_fields": """SELECT doc_id, CASE WHEN len(p) >= 6 THEN p[4] END AS urn_authority, CASE WHEN len(p) >= 6 THEN p[5] END AS urn_type,
         CASE WHEN len(p) >= 6 THEN string_split(p[6], ';')[1] END AS urn_date, CASE WHEN len(p) >= 6 THEN nullif(string_split(p[6], ';')[2], '') END AS urn_number
         FROM (SELECT DISTINCT doc_id, string_split(urn, ':') AS p FROM store_documents WHERE urn IS NOT NULL)""",
-    "title_fields": r"""SELECT DISTINCT doc_id, nullif(upper(regexp_extract(title, '^\s*(\pL[\pL ]*?)\s+(?:[Nn][º°o.]+\s*)?([0-9][0-9A-Za-z./-]*)', 1)), '') AS title_type,
+    "title_fields": r"""SELECT DISTINCT doc_id, CASE upper(regexp_extract(title, '^\s*(\pL[\pL ]*?)\s+(?:[Nn][º°o.]+\s*)?([0-9][0-9A-Za-z./-]*)', 1)) WHEN 'PORTARIA' THEN 'Portaria' WHEN 'RESOLUCAO' THEN 'Resolução' WHEN 'LEI' THEN 'Lei' WHEN 'DECRETO' THEN 'Decreto'
+        ELSE nullif(upper(regexp_extract(title, '^\s*(\pL[\pL ]*?)\s+(?:[Nn][º°o.]+\s*)?([0-9][0-9A-Za-z./-]*)', 1)), '') END AS title_type,
         nullif(regexp_extract(title, '^\s*(\pL[\pL ]*?)\s+(?:[Nn][º°o.]+\s*)?([0-9][0-9A-Za-z./-]*)', 2), '') AS title_number FROM store_documents WHERE title IS NOT NULL""",
     "quality_metrics": f"SELECT * EXCLUDE (control_count) FROM ({_METRICS})",
     "quality_levels": f"""SELECT CASE WHEN total_chars = 0 THEN 'garbage' WHEN total_chars < 200 THEN 'low' WHEN control_count / total_chars > 0.10 OR alpha_count / total_chars < 0.15 THEN 'garbage'

@@ -145,7 +145,7 @@ def ir_metrics_summary(spark, folder):
 
 
 def response_heuristics(spark, folder):
-    d = table(spark, folder, "store_documents").select(F.col("title").alias("response"), F.array(F.lower(F.concat_ws(" ", "doc_type", "number"))).alias("sources"))
+    d = table(spark, folder, "store_documents").select(F.col("title").alias("response"), F.array(F.concat_ws(" ", F.upper("doc_type"), "number")).alias("sources"))
     r = evaluation.response_metrics(d)
     return r.select("n_responses", *(F.round(c, 6).alias(c) for c in ("empty_rate", "citation_rate", "hedging_rate", "grounding_rate")))
 
@@ -317,7 +317,7 @@ SQL = {
     "backfill_dedup": f"{_FB} SELECT DISTINCT session_id, message_id, kind, star_category, star_value FROM f WHERE kind = 'star'",
     "context_window_last_n": f"{_TURNS} SELECT session_id, turn FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= 10",
     "prev_user_message": f"""{_TURNS} SELECT session_id, turn, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM t""",
-    "chat_title": f"""{_TURNS} SELECT session_id, regexp_replace(arg_min(content, turn), '\\s*\\n\\s*', ' ', 'g') AS title FROM t WHERE role = 'user' GROUP BY session_id""",
+    "chat_title": f"""{_TURNS} SELECT session_id, replace(arg_min(content, turn), chr(10), ' ') AS title FROM t WHERE role = 'user' GROUP BY session_id""",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n_events, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "session_window_events": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 60 MINUTES THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -18,7 +18,7 @@ def test_content_hash(spark):
     assert h("  hello   world  ") == h("hello world") == h("Hello\n World") and h("a") != h("b") and h(None) is None
 
 
-@pytest.mark.parametrize("kind, number, wanted", [("ICA", "ICA 96-1/2019", "ica_96-1"), ("Portaria", " 12/2020 ", "portaria_12"), ("", "1", None), ("lei", "--", None), (None, "1", None), ("ICA", "ICA96-1", "ica_96-1")])
+@pytest.mark.parametrize("kind, number, wanted", [("ICA", "ICA 96-1", "ica_96-1"), ("ICA", "ICA-96-1/2019", "ica_96-1/2019"), ("Portaria", " 12 ", "portaria_12"), ("Lei Complementar", "8666", "leicomplementar_8666"), ("", "1", None), ("lei", "--", None), (None, "1", None), ("ICA", "ICA96-1", "ica_96-1")])
 def test_canonical_id(spark, kind, number, wanted):
     assert one(spark, ids.canonical_id(F.col("k"), F.col("n")), k=kind, n=number) == wanted
 
@@ -27,7 +27,8 @@ def test_ids(spark):
     assert one(spark, ids.document_id(F.lit("ICA"), F.lit("96-1"), F.lit("2019"), F.col("f")), f="x") == "ica_96-1/2019"
     assert one(spark, ids.document_id(F.lit(""), F.lit("96-1"), F.lit("2019"), F.col("f")), f="x") == "x"
     assert one(spark, ids.base_document(F.col("r")), r="ica_1-art5-2") == "ica_1" and one(spark, ids.base_document(F.col("r")), r="a/2020-chunk-3") == "a/2020"
-    assert one(spark, ids.golden_id(F.col("r")), r="ICA-96-1-art563") == "ica_96-1-art563" and one(spark, ids.golden_id(F.col("r")), r="ica_7-58/2020-art2") == "ica_7-58-art2"
+    assert one(spark, ids.golden_id(F.col("r")), r="ICA-96-1-art563") == "ica_96-1-art563" and one(spark, ids.golden_id(F.col("r")), r="ica_7-58/2020-art2") == "ica_7-58-art2" and one(spark, ids.audit_id(F.col("r")), r="RBAC.E_94-art1/2020x") == "rbace_94-art1x"
+    assert one(spark, ids.doc_type_name(F.col("r")), r=" decreto -  lei ") == "Decreto-Lei" and one(spark, ids.doc_type_name(F.col("r")), r="nsca") == "NSCA"
     assert one(spark, ids.chunk_id(F.col("r"), F.lit("t" * 300)), r="k") == one(spark, ids.chunk_id(F.col("r"), F.lit("t" * 101)), r="k")
     assert one(spark, ids.file_safe(F.col("r")), r="a/b ç") == "a_b__" and one(spark, ids.csv_set(F.col("r")), r=" a, b,,c ") == ["a", "b", "c"]
     assert one(spark, ids.first_filled(F.col("a"), F.col("b")), a="", b="z") == "z"
