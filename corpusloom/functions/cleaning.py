@@ -60,19 +60,22 @@ def strip_controls(c: Column) -> Column:
 
 
 def garbled_word(w: Column) -> Column:
-    """Whether a word has hardly any vowels, or far more of them three letters back (FN-04)."""
-    letters = F.lower(F.regexp_replace(w, r"\P{L}", ""))
-    n = F.length(letters)
-    vowels = lambda x: F.length(F.regexp_replace(x, f"[^{VOWELS}]", "")) / n
-    shifted = F.translate(letters, LETTERS, LETTERS[-3:] + LETTERS[:-3])
-    return (n >= 5) & ((vowels(letters) < 0.10) | ((vowels(shifted) - vowels(letters) > 0.12) & (vowels(shifted) > 0.35)))
+    """Whether a word of letters has hardly any vowels, or far more of them three letters back (FN-04).
+
+    ``translate`` counts them: it drops the vowels, or the letters that become vowels when shifted.
+    """
+    letters, n = F.lower(w), F.length(w)
+    shifted = "".join(LETTERS[(LETTERS.index(v) + 3) % 26] for v in VOWELS if v in LETTERS) + "".join(v for v in VOWELS if v not in LETTERS)
+    vowels = n - F.length(F.translate(letters, VOWELS, ""))
+    decoded = n - F.length(F.translate(letters, shifted, ""))
+    return (n >= 5) & ((vowels < n * 0.10) | ((decoded - vowels > n * 0.12) & (decoded > n * 0.35)))
 
 
 def drop_garbled_lines(c: Column) -> Column:
     """Lines of which at least two and at least half of the longer words are garbled go (FN-05)."""
 
     def keep(line: Column) -> Column:
-        words = F.filter(F.regexp_extract_all(line, F.lit(r"[a-zA-ZÀ-ÿ]{3,}"), F.lit(0)), lambda w: F.length(w) >= 5)
+        words = F.regexp_extract_all(line, F.lit(r"[a-zA-ZÀ-ÿ]{5,}"), F.lit(0))
         bad = F.size(F.filter(words, garbled_word))
         return ~((bad >= 2) & (bad * 2 >= F.size(words)))
 
@@ -80,18 +83,19 @@ def drop_garbled_lines(c: Column) -> Column:
 
 
 def drop_page_numbers(c: Column) -> Column:
-    """Lines ``N/M`` with 1 <= N <= M and M >= 2 go (FN-07)."""
+    """Lines ``N/M`` with 1 <= N <= M and M >= 2 go (FN-07). Texts and lines that can't be such are told cheaply first."""
 
     def keep(line: Column) -> Column:
         part = lambda i: F.regexp_extract(line, r"^\s*(\d{1,3})\s*/\s*(\d{1,3})\s*$", i).try_cast("int")
-        return ~F.coalesce((part(1) >= 1) & (part(1) <= part(2)) & (part(2) >= 2), F.lit(False))
+        page = F.coalesce((part(1) >= 1) & (part(1) <= part(2)) & (part(2) >= 2), F.lit(False))
+        return F.when(line.contains("/") & (F.length(F.trim(line)) < 40), ~page).otherwise(F.lit(True))
 
-    return F.array_join(F.filter(F.split(c, "\n", -1), keep), "\n")
+    return F.when(c.rlike(r"(?m)^\s*\d{1,3}\s*/\s*\d{1,3}\s*$"), F.array_join(F.filter(F.split(c, "\n", -1), keep), "\n")).otherwise(c)
 
 
 def join_hyphens(c: Column) -> Column:
     """Words broken at a line's end are joined if they go on in lower case (FN-11)."""
-    return F.regexp_replace(c, r"(?U)(\w{3,})-\s*\n\s*([a-záéíóúàâêôãõçü]\w{2,})", "$1$2")
+    return F.regexp_replace(c, r"(?U)-\s*\n\s*(?<=\w{3}-\s{1,200})(?=[a-záéíóúàâêôãõçü]\w{2})", "")
 
 
 def squeeze_layout(c: Column) -> Column:

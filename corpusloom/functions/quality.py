@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.ids import WS
+from corpusloom.functions.ids import WS, WS_CHARS
 
 #: Thresholds of the levels.
 MIN_CHARS, MAX_CONTROL, GARBAGE_ALPHA, LOW_ALPHA, MEDIUM_ALPHA = 200, 0.10, 0.15, 0.40, 0.65
@@ -21,7 +21,7 @@ def quality_metrics(df: DataFrame, content: str = "content") -> DataFrame:
     """``df`` with the counts and ratios of its content; a null content counts as empty."""
     text = F.coalesce(F.col(content), F.lit(""))
     lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
-    bare = lambda x: F.regexp_replace(x, rf"^{WS}+|{WS}+$", "")
+    bare = lambda x: F.btrim(x, F.lit(WS_CHARS))
     size = lambda p: F.size(F.filter(lines, p)).cast("bigint")
     counted = df.withColumns(
         {

@@ -77,7 +77,7 @@ class HistoryStore:
 
     spark: SparkSession
     path: str
-    buckets: int = 32
+    buckets: int = 16
 
     # ---- files
 
@@ -179,7 +179,7 @@ def history_rows(store: HistoryStore) -> DataFrame:
     )
 
 
-def state_history(snapshots: DataFrame, path: str, late_days: int = 90, buckets: int = 32) -> HistoryStore:
+def state_history(snapshots: DataFrame, path: str, late_days: int = 90, buckets: int = 16) -> HistoryStore:
     """History of all observations: those that arrived up to ``late_days`` before the last arrival are the first
     load, the later ones (with all late rows and corrections of that time) come in as an update."""
     store = HistoryStore(snapshots.sparkSession, path, buckets)
