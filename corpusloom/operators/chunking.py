@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MAX_WORDS, WINDOW_OVERLAP, PREAMBLE, SHORT = 270, 50, 500, 50
 #: Document types that are chunked by article.
 ARTICLE_TYPES = ["ica", "mca", "pca", "nsca", "dca", "tca", "fca", "oca", "rca", "roca", "rica", "rima", "rma", "npa", "bca", "bma", "ima", "circea", "decea", "rbac"]
+#: Where articles, sentences, paragraphs and items of legal texts begin.
 _article = re.compile(r"(?:^|\n)\s*Art\.?\s*(\d+)[°º]?[\s\-.]*", re.I | re.M)
 _article_ahead = re.compile(r"(?=\bArt\s*\.?\s*\d)")
 _sentence_gap = re.compile(r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚÀÂÊÔÃÕÇ])")

@@ -45,10 +45,21 @@ def last_turns(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
-def previous_question(messages: DataFrame) -> DataFrame:
-    """Each message with the last user message before it (PRJ-15, WIN-06)."""
-    w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("question", F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(w))
+def previous_question(messages: DataFrame, block: int = 100_000) -> DataFrame:
+    """Each message with the last user message before it (PRJ-15, WIN-06).
+
+    Looked for within blocks of turns first, then carried from block to block, so that a session of any length is
+    spread over many tasks.
+    """
+    m = messages.withColumn("_b", F.floor(F.col("turn") / block))
+    asked = F.when(F.col("role") == "user", F.col("content"))
+    before = Window.partitionBy("session_id", "_b").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    near = m.withColumn("_near", F.last(asked, ignorenulls=True).over(before))
+    ends = m.groupBy("session_id", "_b").agg(F.max_by("content", F.when(asked.isNotNull(), F.col("turn"))).alias("_end"))
+    earlier = Window.partitionBy("session_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("session_id", "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_far"))
+    joined = near.join(carried, ["session_id", "_b"], "left")
+    return joined.select(*messages.columns, F.coalesce("_near", "_far").alias("question"))
 
 
 def chat_title(messages: DataFrame, most: int = 50) -> DataFrame:

@@ -67,6 +67,8 @@ def test_chat(spark):
     titles = {r.session_id: r.title for r in feedback.chat_title(df).collect()}
     assert titles["t"] == "curta" and titles["s"].startswith("primeira pergunta longa") and titles["s"].endswith("longa...") and len(titles["s"]) <= 53
     assert {(r.session_id, r.turn): r.question for r in feedback.previous_question(df).collect()}["s", 4].startswith("primeira")
+    whole = {(r.session_id, r.turn, r.question) for r in feedback.previous_question(df).collect()}
+    assert {(r.session_id, r.turn, r.question) for r in feedback.previous_question(df, block=1).collect()} == whole
     assert feedback.last_turns(df, 2).count() == 3
     nested = spark.createDataFrame([("s", [("user", "t1", "m1", {"clarity": 3}), ("assistant", None, "m2", {"overall": 1})])], "session_id string, messages array<struct<role:string,timestamp:string,message_id:string,ratings:map<string,int>>>")
     flat = feedback.unnest_history(nested)
