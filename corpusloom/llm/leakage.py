@@ -4,7 +4,9 @@ The index is partitioned by document: each block of texts has, for every term, t
 the block's token stream. A search fetches the lists of the test terms only. In each block it starts from the rarest term
 of each window of the passage, whose positions, adjusted by the term's offset, give the possible starts of the passage;
 these are intersected with the adjusted lists of all other terms. Runs of ``length`` consecutive offsets on one start are
-phrase matches; windows in which as many offsets occur in order, within ``slack`` places of one start, are proximity matches.
+phrase matches; windows of twice the length in which as many offsets occur within ``slack`` places of one start are proximity
+matches. Any term may be missing from those, so their starts are where several of the rarest terms of a window agree, of
+which there are so many that no match can miss them.
 
 Words are maximal runs of letters and digits, compared without case and accents, compatibility forms resolved. Defined
 results for odd input: null and empty texts match nothing; passages shorter than ``length`` words match nothing; repeated
@@ -29,6 +31,8 @@ _word = re.compile(r"[^\W_]+").findall
 _marks = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 #: Tokens of a block, about; a text is never divided. Empty positions between two texts, more than any passage has words.
 BLOCK_TOKENS, GAP = 1_000_000, 4096
+#: Terms of a proximity match that must agree before all others are looked at. Any number up to ``length`` finds all matches.
+NEAR_LEAST = 5
 
 
 def words(text: str) -> list[str]:
@@ -120,6 +124,14 @@ def _member(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return sorted_values[at] == wanted
 
 
+def _within(sorted_values: np.ndarray, wanted: np.ndarray, slack: int) -> np.ndarray:
+    """For each wanted position the first value within ``slack`` places of it, or -1."""
+    if not sorted_values.size:
+        return np.full(wanted.shape, -1, np.int64)
+    found = sorted_values[np.minimum(np.searchsorted(sorted_values, wanted - slack), sorted_values.size - 1)]
+    return np.where(np.abs(found - wanted) <= slack, found, -1)
+
+
 def longest_runs(hits: np.ndarray) -> np.ndarray:
     """Longest run of true values in each row."""
     best = run = np.zeros(hits.shape[0], np.int32)
@@ -135,41 +147,60 @@ def anchors(passage: list[str], frequency: dict[str, int], length: int) -> list[
     return sorted({min(range(s, s + length), key=lambda p: (rank[p], -p)) for s in range(len(passage) - length + 1)})
 
 
+def near_offsets(passage: list[str], frequency: dict[str, int], length: int, least: int) -> list[int]:
+    """Offsets of which every window of twice the length that has ``length`` words of a match has at least ``least``: as
+    many can miss as the window has words beyond ``length``. The rarest ones; a term that occurs nowhere is one that misses."""
+    width = min(2 * length, len(passage))
+    rank = [frequency.get(w, 0) for w in passage]
+    rarest = (sorted(range(s, s + width), key=lambda p: (rank[p], p))[: width - length + least] for s in range(len(passage) - width + 1))
+    return sorted({p for window in rarest for p in window if rank[p]})
+
+
+def near_starts(lists: dict[str, np.ndarray], passage: list[str], offsets: list[int], slack: int, least: int) -> np.ndarray:
+    """All starts within ``slack`` places of which ``least`` of the offsets' terms occur."""
+    begin = [lists[passage[p]] - p for p in offsets if passage[p] in lists]
+    at = np.sort(np.concatenate(begin)) if begin else np.zeros(0, np.int64)
+    if at.size < least:
+        return np.zeros(0, np.int64)
+    first, last = at[: at.size - least + 1], at[least - 1 :]
+    close = np.flatnonzero(last - first <= 2 * slack)
+    first, last = first[close] + slack, last[close] - slack
+    return np.unique(np.concatenate([(last + d)[last + d <= first] for d in range(2 * slack + 1)]))
+
+
 def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarray, passages: list[tuple[int, list[str]]], frequency: dict[str, int], length: int, slack: int) -> list[tuple[int, int, str, int]]:
     """``(document, item, kind, words)`` of one block."""
     empty, best = np.zeros(0, np.int64), {}
+
+    def keep(where: int, item: int, value: tuple[bool, int]) -> None:
+        doc = int(ids[np.searchsorted(starts, where, "right") - 1])
+        if value > best.get((doc, item), (False, 0)):
+            best[doc, item] = value
+
+    least = min(NEAR_LEAST, length)
     for item, passage in passages:
         if len(passage) < length:
             continue
         begin = [lists[passage[p]] - p for p in anchors(passage, frequency, length) if passage[p] in lists]
         candidates = np.unique(np.concatenate(begin)) if begin else empty
-        if not candidates.size:
-            continue
-        hits = np.stack([_member(lists.get(w, empty), candidates + p) for p, w in enumerate(passage)], axis=1)
-        runs = longest_runs(hits)
-        # offsets that occur in order within slack places of a start, in any window of twice the length
-        near = hits.copy()
-        few = np.flatnonzero((runs < length) & (hits.sum(axis=1) >= length // 2))
-        if slack and few.size:
-            for p, w in enumerate(passage):
-                own = lists.get(w, empty)
-                for d in range(-slack, slack + 1):
-                    if d:
-                        near[few, p] |= _member(own, candidates[few] + p + d)
-        for k in np.flatnonzero(runs >= length).tolist() + few.tolist():
-            phrase = runs[k] >= length
-            n = int(runs[k])
-            if not phrase:
-                sums = np.convolve(near[k].astype(np.int32), np.ones(min(2 * length, len(passage)), np.int32), "valid")
-                n = int(sums.max())
-                if n < length:
-                    continue
-            # the document in which the matching words are, which may begin after the passage's own start
-            where = candidates[k] + int(np.flatnonzero(hits[k])[len(np.flatnonzero(hits[k])) // 2])
-            doc = int(ids[np.searchsorted(starts, where, "right") - 1])
-            value = (phrase, n)
-            if value > best.get((doc, item), (False, 0)):
-                best[doc, item] = value
+        if candidates.size:
+            hits = np.stack([_member(lists.get(w, empty), candidates + p) for p, w in enumerate(passage)], axis=1)
+            runs = longest_runs(hits)
+            for k in np.flatnonzero(runs >= length):
+                own = np.flatnonzero(hits[k])
+                # the document in which the matching words are, which may begin after the passage's own start
+                keep(candidates[k] + int(own[len(own) // 2]), item, (True, int(runs[k])))
+        # offsets that occur within slack places of a start, in any window of twice the length
+        near = near_starts(lists, passage, near_offsets(passage, frequency, length, least), slack, least)
+        if near.size:
+            places = np.stack([_within(lists.get(w, empty), near + p, slack) for p, w in enumerate(passage)], axis=1)
+            width = min(2 * length, len(passage))
+            total = np.cumsum(np.pad(places >= 0, ((0, 0), (1, 0))), axis=1)
+            sums = total[:, width:] - total[:, :-width]
+            for k in np.flatnonzero(sums.max(axis=1) >= length):
+                # all words of a window are in one document, which may begin after the passage's own start
+                s = int(sums[k].argmax())
+                keep(int(places[k, s : s + width].max()), item, (False, int(sums[k, s])))
     return [(doc, item, "phrase" if phrase else "proximity", n) for (doc, item), (phrase, n) in best.items()]
 
 

@@ -67,6 +67,48 @@ def test_proximity(spark):
     assert {(r.doc_id, r.match_kind) for r in leaks(d, i).collect()} == {(1, "proximity"), (3, "phrase")}
 
 
+def near_words(doc, passage, length=13, slack=3):
+    """Most words of a window of the passage near one start, over all starts."""
+    d, p = words(doc or ""), words(passage or "")
+    width, best = min(2 * length, len(p)), 0
+    for start in range(-len(p) - slack, len(d) + slack) if len(p) >= length else ():
+        hit = [w in d[max(0, start + k - slack) : max(0, start + k + slack + 1)] for k, w in enumerate(p)]
+        best = max(best, *(sum(hit[s : s + width]) for s in range(len(p) - width + 1)))
+    return best
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"palavra{i}" for i in range(300)] + ["de", "a", "o", "é"] * 20
+    items = [(i, " ".join([rng.choice(vocabulary) for _ in range(n - 1)] + [f"raro{i}"])) for i, n in enumerate([13, 14, 20, 26, 27, 40] * 3)]
+    docs = []
+    for d in range(120):
+        p = words(rng.choice(items)[1])
+        # any words changed, left out or put in, the rarest ones among them
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randrange(len(p))
+            p[at : at + rng.randint(0, 1)] = [f"novo{rng.randint(0, 9)}"] * rng.randint(0, 1)
+            p = p or ["a"]
+        if rng.random() < 0.5:
+            p = [w for w in p if not w.startswith("raro")]
+        docs.append((d, " ".join([*rng.choices(vocabulary, k=rng.randint(0, 20)), *p, *rng.choices(vocabulary, k=rng.randint(0, 20))])))
+    wanted = {(d, i): n for d, t in docs for i, p in items if (n := near_words(t, p)) >= 13}
+    phrases = brute(docs, items)
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2), spark.createDataFrame(items, "item_id bigint, passage string")
+    found = {(r.doc_id, r.item_id): r for r in leaks(d, i).collect()}
+    assert found.keys() == wanted.keys() and len(wanted) > len(phrases) + 20
+    assert {k: r.n_words for k, r in found.items() if r.match_kind == "proximity"} == {k: n for k, n in wanted.items() if k not in phrases}
+
+
+def test_proximity_without_the_rarest_word(spark):
+    passage = [f"w{i}" for i in range(20)]
+    docs = [(1, " ".join([*passage[:10], "outra", *passage[11:]]))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    # neither run has 13 words, and w10 occurs nowhere
+    for slack in (0, 3):
+        assert [tuple(r) for r in leaks(d, spark.createDataFrame([(7, " ".join(passage))], "item_id bigint, passage string"), slack=slack).collect()] == [(1, 7, "proximity", 19)]
+
+
 def test_several_blocks(spark):
     rows = [(d, " ".join(f"t{(d * 7 + k) % 50}" for k in range(30))) for d in range(40)]
     before = leakage.BLOCK_TOKENS
