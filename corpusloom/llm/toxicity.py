@@ -36,8 +36,10 @@ PRIOR, DRIFT, LOW, HIGH = 4.0, 0.35, -3.0, 7.0
 #: Least score of a segment of a positive text, and of any text, that counts as toxic while fitting.
 SEED_SCORE, CERTAIN = 5.0, 1e-4
 F1_SLACK = 0.004
-#: Rounds of fitting on the segments of all texts; greatest p-value of a toxic text.
-CORPUS_ROUNDS, MAX_P = 2, 1e-4
+#: Rounds of fitting on the segments of all texts.
+CORPUS_ROUNDS = 2
+#: Steps a unit of rate * score - ln n in the histograms of a pass, and bounds of it.
+STEPS, LEAST_X, GREATEST_X = 32, -24.0, 64.0
 #: Least share of all tokens in toxic segments that a token must have to be kept; bounds the model by its inverse.
 TOKEN_SHARE = 1e-6
 #: Letters that digits and signs stand for.
@@ -183,8 +185,8 @@ def fit_scores(positive: Counter, every: Counter, n_positive: float, n_every: fl
     return out
 
 
-def calibrate(model: Model, background: Counter, bests: list[tuple[float, int]]) -> None:
-    """Lambda from the scores of the background's tokens; K from the best scores of texts, most of which are neutral."""
+def calibrate_rate(model: Model, background: Counter) -> None:
+    """Lambda from the scores of the background's tokens."""
     total = sum(background.values())
     if not total:
         return
@@ -199,10 +201,30 @@ def calibrate(model: Model, background: Counter, bests: list[tuple[float, int]])
             else:
                 low = middle
         model.rate = low
-    x = np.array([model.rate * b - math.log(n) for b, n in bests if n and b > 0])
-    if x.size >= 20:
-        # the median of a Gumbel distribution is ln K - ln ln 2 here; toxic texts are too few to move it
-        model.log_k = float(np.median(x) + math.log(math.log(2)))
+
+
+def step_of(model: Model, score: float, n: int) -> int:
+    """The histogram step of a score in a text of ``n`` tokens."""
+    return math.floor(STEPS * min(GREATEST_X, max(LEAST_X, model.rate * score - math.log(n))))
+
+
+def calibrate_k(model: Model, bests: dict[int, tuple[int, int]]) -> None:
+    """K from ``step: (texts with their best score there, texts without a positive score, which would be below it)``, of all
+    texts, most of which are neutral: the median of the product-limit estimate, or the quantile next to it that was seen."""
+    left = sum(a + b for a, b in bests.values())
+    if left < 20:
+        return
+    below = 1.0
+    for step in sorted(bests, reverse=True):
+        seen, censored = bests[step]
+        share = 1 - seen / left
+        if seen and share > 0:
+            below *= share
+            # below is the distribution function of a Gumbel variable at the lower end of the step
+            model.log_k = step / STEPS + math.log(-math.log(below))
+        left -= seen + censored
+        if below <= 0.5 or left <= 0:
+            break
 
 
 def votes(labels: DataFrame) -> DataFrame:
@@ -292,33 +314,47 @@ def seed_model(texts: list[tuple[str, bool]], terms: list[str]) -> Model | None:
             return None
         model = Model(lexicon, fit_scores(positive, every, n, total))
     weigh_labels(model, data)
-    bests = [(max((x[2] for x in _ruled(model, tokens, 0.0)), default=0.0), len(tokens)) for tokens, _ in data]
-    calibrate(model, every - positive, bests)
+    calibrate_rate(model, every - positive)
     return model
 
 
-def corpus_counts(texts: DataFrame, model: Model) -> DataFrame:
-    """``(token, n, toxic)``: counts of all tokens, and of those in certainly toxic segments, over all texts."""
+def corpus_counts(texts: DataFrame, model: Model, tokens_too: bool = True) -> DataFrame:
+    """``(token, step, n, toxic)`` over all texts: with a null step the counts of all tokens; with a step the counts of tokens
+    in segments of that step that score at least ``SEED_SCORE``; with a null token, the texts whose best score is in the step
+    (``n``), and those without a positive score (``toxic``), whose step is an upper bound."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, every, toxic = shared.value, Counter(), Counter()
+        m, n, toxic = shared.value, Counter(), Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 tokens = tokens_of(t, m.lexicon)
-                every.update(tokens)
-                for a, e, s in sentence_segments(m, tokens):
-                    if s >= SEED_SCORE and m.p_value(s, len(tokens)) < CERTAIN:
-                        toxic.update(tokens[a:e])
-            if len(every) > 400_000:
-                yield emit(every, toxic)
-                every, toxic = Counter(), Counter()
-        yield emit(every, toxic)
+                if not tokens:
+                    continue
+                best = max((x[2] for x in _ruled(m, tokens, 0.0)), default=0.0)
+                (n if best > 0 else toxic)[None, step_of(m, best, len(tokens))] += 1
+                if tokens_too:
+                    n.update((w, None) for w in tokens)
+                    for a, e, s in sentence_segments(m, tokens):
+                        if s >= SEED_SCORE:
+                            step = step_of(m, s, len(tokens))
+                            toxic.update((w, step) for w in tokens[a:e])
+            if len(n) + len(toxic) > 400_000:
+                yield emit(n, toxic)
+                n, toxic = Counter(), Counter()
+        yield emit(n, toxic)
+
+    def emit(n: Counter, toxic: Counter) -> pa.RecordBatch:
+        keys = list(n.keys() | toxic.keys())
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (n, toxic))]
+        return pa.RecordBatch.from_arrays(columns, names=["token", "step", "n", "toxic"])
 
-    def emit(every: Counter, toxic: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[w] for w in every], pa.int64())], names=["token", "n", "toxic"])
+    return texts.mapInArrow(run, "token string, step int, n bigint, toxic bigint").groupBy("token", "step").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
-    return texts.mapInArrow(run, "token string, n bigint, toxic bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+def best_steps(counts: DataFrame) -> dict[int, tuple[int, int]]:
+    """The histogram of best scores in ``corpus_counts``: as many rows at most as there are steps."""
+    return {r["step"]: (r["n"], r["toxic"]) for r in counts.filter("token IS NULL").collect()}
 
 
 def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
@@ -335,7 +371,11 @@ def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, key: str = "d
     whole = documents.select(F.col(text).alias("text")).filter("text is not null")
     data = [(tokens_of(t, model.lexicon), toxic) for t, toxic in texts]
     for k in range(CORPUS_ROUNDS):
-        counts = materialize(corpus_counts(whole, model), f"tokens{k}")
+        steps = materialize(corpus_counts(whole, model), f"tokens{k}")
+        calibrate_k(model, best_steps(steps))
+        # a segment is certain from the step on at which its p-value is below CERTAIN
+        certain = math.ceil(STEPS * (model.log_k - math.log(-math.log1p(-CERTAIN))))
+        counts = steps.filter("token IS NOT NULL").groupBy("token").agg(F.sum(F.when(F.col("step").isNull(), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("step") >= certain, F.col("toxic")).otherwise(0)).alias("toxic"))
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         if not total[1]:
             break
@@ -346,9 +386,14 @@ def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, key: str = "d
         model = Model(model.lexicon, fit_scores(positive, every, total[1], total[0]))
         weigh_labels(model, data)
         learn_neutral(model, data)
-        bests = [(max((x[2] for x in _ruled(model, tokens, 0.0)), default=0.0), len(tokens)) for tokens, _ in data]
-        calibrate(model, every - positive, bests)
-        model.threshold = min(MAX_P, best_threshold([(model.p_value(b, n), toxic) for (b, n), (_, toxic) in zip(bests, data)]))
+        calibrate_rate(model, every - positive)
+    else:
+        k = CORPUS_ROUNDS
+    if not k:
+        return model  # no certain segment: the model of the labelled texts, with K of all texts
+    calibrate_k(model, best_steps(corpus_counts(whole, model, tokens_too=False)))
+    bests = [(max((x[2] for x in _ruled(model, tokens, 0.0)), default=0.0), len(tokens)) for tokens, _ in data]
+    model.threshold = best_threshold([(model.p_value(b, n), toxic) for (b, n), (_, toxic) in zip(bests, data)])
     return model
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -91,3 +92,41 @@ def test_votes(spark):
     rows = [(1, "a", "clean", t(2024, 1, 1)), (1, "a", "hate", t(2024, 1, 2)), (2, "a", "hate", t(2024, 1, 1)), (2, "b", "clean", t(2024, 1, 1)), (3, "a", "clean", None), (4, "a", None, t(2024, 1, 1))]
     lab = spark.createDataFrame(rows, "doc_id bigint, annotator string, label string, labelled_at timestamp")
     assert {tuple(r) for r in T.votes(lab).collect()} == {(1, True), (3, False)}
+
+
+def test_k_from_a_histogram_with_censored_texts():
+    rng = random.Random(5)
+    model = T.Model(T.Lexicon(), {}, rate=1.0)
+    for log_k, least in ((-3.0, 0.0), (-3.0, 3.0), (-1.0, 2.0)):
+        bests = {}
+        for i in range(20_000):
+            n = rng.choice([20, 60, 200])
+            score = log_k + math.log(n) - math.log(-math.log(rng.random()))
+            at = bests.setdefault(T.step_of(model, score if score > least else least, n), [0, 0])
+            # a score of at most ``least`` is only known to be no higher
+            at[score <= least] += 1
+        T.calibrate_k(model, {k: tuple(v) for k, v in bests.items()})
+        assert abs(model.log_k - log_k) < 0.1
+
+
+def test_k_is_that_of_all_texts(spark):
+    rows, labels, _ = corpus(600, 4)
+    toxic = {i for i, _, label, _ in labels if label == "abuse"}
+    clean = sorted({x[0] for x in labels} - toxic)
+    # toxic texts are most of the labelled ones
+    labels = [x for x in labels if x[0] in toxic or x[0] in clean[:30]]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, annotator string, label string, labelled_at timestamp")
+    m = T.fit(d, lab, spark.createDataFrame([("cretino",)], "term string"))
+    bests = {}
+    for _, text, _ in rows:
+        tokens = T.tokens_of(text, m.lexicon)
+        score = max((x[2] for x in T._ruled(m, tokens, 0.0)), default=0.0)
+        bests.setdefault(T.step_of(m, score, len(tokens)), [0, 0])[score <= 0] += 1
+    wanted = T.Model(m.lexicon, m.scores, m.rate)
+    T.calibrate_k(wanted, bests)
+    assert wanted.log_k == m.log_k
+    # the threshold follows the labels, not a fixed p-value
+    scored = T.score_documents(d, m).collect()
+    found = {r.doc_id for r in scored if r.toxic and r.doc_id in toxic}
+    assert len(found) >= 0.9 * len(toxic)
