@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Least share of all words, and least count, of a frequent word; so there are at most 1 / VOCABULARY_SHARE of them.
 VOCABULARY_SHARE, MIN_COUNT = 1e-5, 3
-#: A word this many times rarer than one that explains it by a glyph edit is a misreading, if it is used alike.
-RATIO, ALIKE = 40, 0.5
+#: A word this many times rarer than one that explains it by a glyph edit is a misreading, whatever the size of the table.
+RATIO = 40
 WINDOW, DIMENSIONS, NEGATIVES, ROUNDS, TRAINERS, STEPS = 2, 24, 4, 3, 4, 4
 #: Glyph confusions of optical character recognition, as read -> as printed.
 GLYPHS = {
@@ -368,13 +368,11 @@ class Repairer(Reader):
                 ends[" ".join(tokens[-2:])] += tokens[-1] == "#" and tokens[-2].isalpha() and len(tokens[-2]) > 3
         self.heads, self.ends = {h for h, n in heads.items() if n > 1}, {e for e, n in ends.items() if n > 1}
         self.known: dict[str, bool] = {}
-        length = np.linalg.norm(words, axis=1) + 1e-9
-        #: frequent words that are themselves misreadings of far more frequent ones, used alike
+        #: frequent words that are themselves misreadings of far more frequent ones
         self.demoted = set()
         for w, n in vocabulary.items():
             for c in glyph_candidates(w, vocabulary) if len(w) >= SHORTEST else ():
-                i, j = self.index[w], self.index[c]
-                if vocabulary[c] >= RATIO * n and (n < 2 * MIN_COUNT or words[i] @ words[j] / length[i] / length[j] >= ALIKE):
+                if vocabulary[c] >= RATIO * n:
                     self.demoted.add(w)
         self.candidates_of: dict[str, list[str]] = {}
         #: tokens that are known not to be misread; first words of known templates

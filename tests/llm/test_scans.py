@@ -66,6 +66,25 @@ def test_choice_in_context():
     assert both.correct(["doce", "pa|a"], 1) == "pala" and both.correct(["notas", "pa|a"], 1) == "pata"
 
 
+def test_frequent_misreading_above_the_share(spark):
+    # 600,000 words and more: the least count of a frequent word is the share's, and dcverá is above twice MIN_COUNT
+    text = "O operador deverá comunicar a medição ao setor de tráfego. " * 250
+    rows = [(f"d{i}", text + ("Mapa dcverá antigo sem nome. " if i < 12 else "")) for i in range(260)]
+    learned = scans.learn(spark.createDataFrame(rows, "doc_id string, content string"))
+    assert sum(learned[0].values()) * scans.VOCABULARY_SHARE > 2 * scans.MIN_COUNT - 1 and learned[0]["dcverá"] == 12
+    r = Repairer(*learned)
+    assert r.demoted == {"dcverá"} and r.options("dcverá") == ["deverá"]
+
+
+def test_demotion_does_not_depend_on_vectors():
+    import numpy as np
+
+    words = np.array([[1, 0], [0, 1]], float)
+    for n in (4, 41):
+        assert Repairer({"deverá": 556 * n, "dcverá": n}, words, words, set()).demoted == {"dcverá"}
+        assert Repairer({"deverá": 39 * n, "dcverá": n}, words, words, set()).demoted == set()
+
+
 def test_rates_on_the_data(spark, data):
     """Planted noise in clean text of the data comes back, and clean text stays clean."""
     df = spark.read.parquet(f"{data}/store_documents.parquet").select("doc_id", "content")
