@@ -1,10 +1,10 @@
 """Lines repeated across the documents of one source, found as templates of fixed-depth token trees.
 
-Each block of a partition files its lines in a tree: source, number of tokens and the first tokens lead to a leaf, whose templates
-take in similar lines by turning differing tokens into wildcards. A template that covers fewer than the wanted share of
-the block's documents of its source is dropped: a line that is frequent over all blocks must be frequent in at
-least one of them, so nothing is lost. The few templates left are merged across partitions into one tree; a second pass
-counts the lines that match it exactly, over all documents.
+All rows of a document lie in one block. Each block files its lines in a tree: source, number of tokens and the first tokens
+lead to a leaf, whose templates take in similar lines by turning differing tokens into wildcards. A template that covers fewer
+than the wanted share of the block's documents of its source is dropped: a line that is frequent over all blocks must be
+frequent in at least one of them, so nothing is lost. The few templates left are merged
+into one tree; a second pass counts the lines that match it exactly, over all documents.
 
 Lines are compared lower-cased, trimmed, with runs of blanks as one space and runs of digits as ``#``; those with fewer
 than ``min_letters`` letters don't count. Defined results for odd input: rows with a null id, source or text count
@@ -27,9 +27,8 @@ from corpusloom.runtime import materialize
 WILD = "\x00*"
 #: First tokens of a line that lead to a leaf; share of equal tokens that a template must have; templates of a leaf.
 DEPTH, LIKENESS, MAX_TEMPLATES = 3, 0.6, 4096
-#: Documents of a block of a partition, and how far below the wanted share a block keeps templates: a document that is
-#: repeated in other blocks counts there once more, which thins the shares.
-BLOCK, SLACK = 20_000, 0.5
+#: Documents of a block of a partition.
+BLOCK = 20_000
 _digits = re.compile(r"[0-9]+")
 
 
@@ -92,34 +91,49 @@ def _fits(template: tuple[str, ...], tokens: list[str]) -> bool:
     return all(a == b or a is WILD or a == WILD for a, b in zip(template, tokens))
 
 
-def local_templates(df: DataFrame, min_share: float, min_letters: int) -> DataFrame:
-    """Templates that cover about ``min_share`` or more of some block's documents of their source: ``(source, template)``.
+def least_coverage(min_share: float, n: int) -> float:
+    # a little less than the share, so that rounding drops nothing
+    return min_share * n * (1 - 1e-9)
+
+
+def local_templates(df: DataFrame, min_share: float, min_letters: int, block: int = BLOCK) -> DataFrame:
+    """Templates that cover ``min_share`` or more of some block's documents of their source: ``(block, source, leaf, template,
+    coverage, n)``, and a row with null leaf for each source of a block with the number ``n`` of its documents.
 
     A line's template covers all documents of the block that have the line, however it is generalised later.
     """
 
-    def frequent(tree: TemplateTree, sizes: dict[str, set]) -> pa.RecordBatch:
-        found = []
+    def frequent(name: int, tree: TemplateTree, sizes: dict[str, int]) -> pa.RecordBatch:
+        found = [(name, s, None, None, 0, n) for s, n in sizes.items()]
         for leaf, entries in tree.leaves.items():
-            least = SLACK * min_share * len(sizes[leaf[0]])
-            found += [(leaf[0], " ".join(e[0])) for e in entries if e[1] >= least]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*found) if found else ([], []))], names=["source", "template"])
+            n = sizes[leaf[0]]
+            least = least_coverage(min_share, n)
+            found += [(name, leaf[0], " ".join(map(str, leaf[1:])), " ".join(e[0]), e[1], n) for e in entries if e[1] >= least]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 6, kinds)], names=["block", "source", "leaf", "template", "coverage", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, sizes, n = TemplateTree(), defaultdict(set), 0
+        from pyspark import TaskContext
+
+        name = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        tree, sizes, n, last, own = TemplateTree(), defaultdict(int), 0, None, set()
         for b in batches:
             for doc, source, text in zip(*(c.to_pylist() for c in b.columns)):
-                sizes[source].add(doc)
+                if doc != last:
+                    if n == block:
+                        yield frequent(name, tree, sizes)
+                        name, tree, sizes, n = name + 1, TemplateTree(), defaultdict(int), 0
+                    last, own, n = doc, set(), n + 1
+                if source not in own:
+                    own.add(source)
+                    sizes[source] += 1
                 for line in set(normal_lines(text)):
                     if enough_letters(line, min_letters):
                         tree.cover(source, line, doc)
-                n += 1
-                if n == BLOCK:
-                    yield frequent(tree, sizes)
-                    tree, sizes, n = TemplateTree(), defaultdict(set), 0
-        yield frequent(tree, sizes)
+        yield frequent(name, tree, sizes)
 
-    return df.mapInArrow(run, "source string, template string")
+    # the rows of a document follow each other in one partition
+    return df.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, "block long, source string, leaf string, template string, coverage long, n long")
 
 
 def merge_templates(templates: list[tuple[str, str]]) -> dict[tuple, list[tuple[str, ...]]]:
@@ -159,7 +173,8 @@ def repeated_lines(df: DataFrame, min_share: float = 0.1, min_docs: int = 5, min
     ``min_docs`` of them."""
     rows = df.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(content).alias("content")).dropna()
     # at most lines-per-document / min_share templates of a source and partition, so the driver's list is bounded
-    found = [tuple(r) for r in local_templates(rows, min_share, min_letters).distinct().collect()]
+    local = local_templates(rows, min_share, min_letters).filter("leaf IS NOT NULL")
+    found = [tuple(r) for r in local.select("source", "template").distinct().collect()]
     leaves = merge_templates(found)
     tree = rows.sparkSession.sparkContext.broadcast(matching_tree(leaves))
 

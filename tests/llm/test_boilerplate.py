@@ -57,6 +57,16 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
     assert {(r.source, r.line_text) for r in repeated_lines(df).collect()} == brute(rows)
 
 
+def test_documents_repeated_across_partitions(spark):
+    # 10 of 100 documents have the line; the others are delivered six times more, in other partitions
+    rows = [(f"d{i:03}", "a", ("Linha do portal em dez de cem\n" if i < 10 else "") + f"texto próprio do documento {'abcdefghij'[i % 10] * (i // 10 + 1)}") for i in range(100)]
+    df = spark.createDataFrame(rows[:10] + rows[10:] * 7, "doc_id string, source string, content string").repartition(6, "content").unionByName(spark.createDataFrame(rows[10:], "doc_id string, source string, content string"))
+    assert {(r.source, r.line_text) for r in repeated_lines(df).collect()} == brute(rows) == {("a", "linha do portal em dez de cem")}
+    local = boilerplate.local_templates(df.toDF("doc", "source", "content"), 0.1, 15).filter("leaf IS NULL").collect()
+    # every document is counted in one block, once
+    assert sum(r.n for r in local) == 100
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id string, source string, content string")
     assert repeated_lines(df).count() == 0
