@@ -3,8 +3,9 @@
 All rows of a document lie in one block. Each block files its lines in a tree: source, number of tokens and the first tokens
 lead to a leaf, whose templates take in similar lines by turning differing tokens into wildcards. A template that covers fewer
 than the wanted share of the block's documents of its source is dropped: a line that is frequent over all blocks must be
-frequent in at least one of them, so nothing is lost. The few templates left are merged
-into one tree; a second pass counts the lines that match it exactly, over all documents.
+frequent in at least one of them, so nothing is lost. What the blocks keep is added up by leaf; leaves that can't reach the
+share and number wanted are dropped too. The few templates left are merged into one tree; a second pass counts the
+lines that match it exactly, over all documents.
 
 Lines are compared lower-cased, trimmed, with runs of blanks as one space and runs of digits as ``#``; those with fewer
 than ``min_letters`` letters don't count. Defined results for odd input: rows with a null id, source or text count
@@ -136,6 +137,20 @@ def local_templates(df: DataFrame, min_share: float, min_letters: int, block: in
     return df.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, "block long, source string, leaf string, template string, coverage long, n long")
 
 
+def global_templates(found: DataFrame, min_share: float, min_docs: int) -> DataFrame:
+    """``(source, template)`` of those ``local_templates`` that have a line which may be in enough documents over all blocks.
+
+    A line has one leaf, and in a block that leaf's greatest coverage at most; where the block keeps no template of the leaf,
+    fewer documents than its least coverage.
+    """
+    unseen = F.ceil(F.col("n") * min_share * (1 - 1e-9)) - 1
+    sources = found.filter("leaf IS NULL").groupBy("source").agg(F.sum("n").alias("size"), F.sum(unseen).alias("unseen"))
+    blocks = found.filter("leaf IS NOT NULL").groupBy("source", "leaf", "block").agg(F.max("coverage").alias("most"), F.max("n").alias("n"))
+    leaves = blocks.groupBy("source", "leaf").agg(F.sum(F.col("most") - unseen).alias("more"))
+    enough = leaves.join(sources, "source").filter((F.col("more") + F.col("unseen") >= F.col("size") * min_share * (1 - 1e-9)) & (F.col("more") + F.col("unseen") >= min_docs))
+    return found.filter("leaf IS NOT NULL").select("source", "leaf", "template").distinct().join(enough.select("source", "leaf"), ["source", "leaf"], "left_semi").select("source", "template")
+
+
 def merge_templates(templates: list[tuple[str, str]]) -> dict[tuple, list[tuple[str, ...]]]:
     """One tree from the templates of all partitions; those that some line could fit together are generalised."""
     leaves: dict[tuple, list[tuple[str, ...]]] = defaultdict(list)
@@ -172,9 +187,9 @@ def repeated_lines(df: DataFrame, min_share: float = 0.1, min_docs: int = 5, min
     """``(source, line_text, n_docs)`` of the lines in at least ``min_share`` of their source's documents and in at least
     ``min_docs`` of them."""
     rows = df.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(content).alias("content")).dropna()
-    # at most lines-per-document / min_share templates of a source and partition, so the driver's list is bounded
-    local = local_templates(rows, min_share, min_letters).filter("leaf IS NOT NULL")
-    found = [tuple(r) for r in local.select("source", "template").distinct().collect()]
+    # what the blocks keep may be long where sources are small; only leaves that can reach the share come to the driver
+    local = materialize(local_templates(rows, min_share, min_letters), "templates")
+    found = [tuple(r) for r in global_templates(local, min_share, min_docs).distinct().collect()]
     leaves = merge_templates(found)
     tree = rows.sparkSession.sparkContext.broadcast(matching_tree(leaves))
 

@@ -67,6 +67,16 @@ def test_documents_repeated_across_partitions(spark):
     assert sum(r.n for r in local) == 100
 
 
+def test_small_sources_stay_off_the_driver(spark):
+    rows = [(f"d{i}", f"s{i % 60}", "\n".join(["Linha comum da fonte inteira", *(f"{'abcdefgh'[k]}{'xyz' * (i + 1)} só deste texto" for k in range(8))])) for i in range(480)]
+    df = spark.createDataFrame(rows, "doc string, source string, content string")
+    local = boilerplate.local_templates(df, 0.1, 15, block=50)
+    found = {tuple(r) for r in boilerplate.global_templates(local, 0.1, 5).collect()}
+    assert local.filter("template IS NOT NULL").count() > 3000
+    assert found == {(f"s{k}", "linha comum da fonte inteira") for k in range(60)}
+    assert {(r.source, r.line_text) for r in repeated_lines(df.withColumnRenamed("doc", "doc_id")).collect()} == found
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id string, source string, content string")
     assert repeated_lines(df).count() == 0
