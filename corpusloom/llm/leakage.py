@@ -72,7 +72,7 @@ def decode(blob: bytes) -> np.ndarray:
 INDEX = "block string, term string, n int, positions binary, documents binary"
 
 
-def build_index(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(df: DataFrame, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The positional index of whole texts: one row per block and term, and per block one row with the null term that has
     the documents' ids (``documents``, as int64) and first positions."""
 
@@ -108,7 +108,7 @@ def build_index(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 tokens.append(codes)
                 at += len(found) + GAP
                 size += len(found)
-                if size >= BLOCK_TOKENS:
+                if size >= block_tokens:
                     yield block_rows(part * 100_000 + number, ids, starts, tokens, vocabulary)
                     number, ids, starts, tokens, vocabulary, size, at = number + 1, [], [], [], {}, 0, 0
         if ids:

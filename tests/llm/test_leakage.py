@@ -118,6 +118,21 @@ def test_several_blocks(spark):
     assert leakage.BLOCK_TOKENS == before
 
 
+def test_blocks_of_one_partition(spark):
+    docs, items = sample(4)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    i = spark.createDataFrame(items, "item_id bigint, passage string")
+    index = leakage.build_index(d, block_tokens=100).persist()
+    texts = [n for n in (len(words(t or "")) for x, t in docs if x is not None) if n]
+    # a block ends with the text that brings it to 100 tokens
+    assert index.select("block").distinct().count() > sum(texts) // 250 > 10
+    assert index.filter("term IS NULL").agg({"n": "sum"}).first()[0] == len(texts)
+    found = {tuple(r) for r in leakage.find_leaks(index, i).collect()}
+    assert {(r[0], r[1]) for r in found if r[2] == "phrase"} == brute(docs, items)
+    assert found == {tuple(r) for r in leakage.find_leaks(leakage.build_index(d), i).collect()}
+    index.unpersist()
+
+
 def test_data(spark, data):
     d, i = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "eval_items"))
     wanted = brute([tuple(r) for r in d.select("doc_id", "text").collect()], [tuple(r) for r in i.select("item_id", "passage").collect()])
