@@ -23,12 +23,16 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import materialize
+
 #: Bound on the labelled texts the driver fits on.
 MAX_LABELLED = 20_000
 #: Pseudo-counts of the prior; what every token costs; bounds of a token's score.
@@ -38,6 +42,8 @@ SEED_SCORE, CERTAIN = 5.0, 1e-4
 F1_SLACK = 0.004
 #: Rounds of fitting on the segments of all texts.
 CORPUS_ROUNDS = 2
+#: Tokens of the longest run that labels are counted of, and the weight of a shorter run's estimate, in texts.
+CONTEXT, SHRINK = 4, 3.0
 #: Steps a unit of rate * score - ln n in the histograms of a pass, and bounds of it.
 STEPS, LEAST_X, GREATEST_X = 32, -24.0, 64.0
 #: Least share of all tokens in toxic segments that a token must have to be kept; bounds the model by its inverse.
@@ -47,11 +53,11 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 _invisible = re.compile("[​-‏⁠-⁤﻿­̀-ͯ]")
 _spaced = re.compile(r"(?<![^\W_])(?:[^\W_]([ .\-_*]))(?:[^\W_]\1){2,}[^\W_](?![^\W_])|(?<![^\W_])(?:[^\W_][.\-_*]){2,}[^\W_](?![^\W_])")
 _repeat = re.compile(r"(\w)\1{2,}")
-_chunk = re.compile(r"\S+").findall
 _parts = re.compile(r"[^\W_]+").findall
 EDGES = ".,;:()[]{}\"'“”‘’«»?¿¡…!–—"
 
 
+GRAIN = 2.0**-20
 #: The token between two sentences, and its score.
 BREAK, BREAK_SCORE = "\u00b6", -2.5
 _ends = (".", "!", "?", "…", ";", ":", ".)", "!)")
@@ -64,18 +70,16 @@ def clean(text: str) -> str:
     return _spaced.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text.lower())
 
 
+def chunk_tokens(chunk: str, lexicon: "Lexicon") -> tuple[str, ...]:
+    """Tokens of what stands between two blanks of a clean text."""
+    if chunk == BREAK:
+        return (BREAK,)
+    return (*lexicon.resolve(chunk), BREAK) if chunk.endswith(_ends) else lexicon.resolve(chunk)
+
+
 def tokens_of(text: str, lexicon: "Lexicon") -> list[str]:
     """Tokens of a text, obfuscated ones as the word they stand for."""
-    out: list[str] = []
-    memo = lexicon.memo
-    for c in _chunk(clean(text).replace("\n", f" {BREAK} ")):
-        hit = memo.get(c)
-        if hit is None:
-            hit = (BREAK,) if c == BREAK else (*lexicon.resolve(c), BREAK) if c.endswith(_ends) else lexicon.resolve(c)
-            if len(memo) < 400_000:
-                memo[c] = hit
-        out += hit
-    return out
+    return [t for c in clean(text).replace("\n", f" {BREAK} ").split() for t in chunk_tokens(c, lexicon)]
 
 
 @dataclass
@@ -83,7 +87,6 @@ class Lexicon:
     """Words that an obfuscated token may stand for."""
 
     words: frozenset[str] = frozenset()
-    memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
     by_length: dict[int, list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -91,12 +94,6 @@ class Lexicon:
             if len(w) > 3:
                 self.by_length.setdefault(len(w), []).append(w)
 
-    def __getstate__(self):
-        return {"words": self.words, "by_length": self.by_length}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, memo={})
-
     def resolve(self, chunk: str) -> tuple[str, ...]:
         word = chunk.strip(EDGES)
         if word.isalpha():
@@ -129,6 +126,172 @@ class Lexicon:
         return found[0] if len(found) == 1 else None
 
 
+class Reader:
+    """Texts as arrays of token codes. What stands between two blanks is resolved once, then looked up."""
+
+    #: Chunks held before the tables are begun anew.
+    FULL = 1_000_000
+
+    def __init__(self, model: "Model"):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens: list[str] = []
+        self.codes: dict[str, int] = {}
+        self.score, self.hash = np.zeros(1024), np.zeros(1024, np.uint64)
+        self.parts: list[int] = []
+        self.begin, self.size, self.letter = [], [], bytearray()
+        reader = self
+
+        class Chunks(dict):
+            def __missing__(self, chunk: str) -> int:
+                self[chunk] = number = len(self)
+                reader.add(chunk)
+                return number
+
+        self.chunks = Chunks()
+        self.code(BREAK)  # 0
+
+    def code(self, token: str) -> int:
+        k = self.codes.get(token)
+        if k is None:
+            k = self.codes[token] = len(self.tokens)
+            self.tokens.append(token)
+            if k == self.score.size:
+                self.score = np.concatenate([self.score, np.zeros(k)])
+                self.hash = np.concatenate([self.hash, np.zeros(k, np.uint64)])
+            self.score[k] = self.model.scores.get(token, self.model.unknown)
+            self.hash[k] = xxhash.xxh64_intdigest(token)
+        return k
+
+    def add(self, chunk: str) -> None:
+        plain = clean(chunk)
+        own = [self.code(t) for c in plain.split() for t in chunk_tokens(c, self.model.lexicon)]
+        self.begin.append(len(self.parts))
+        self.size.append(len(own))
+        self.letter.append(sum(c.isalnum() for c in plain) == 1)
+        self.parts += own
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all tokens of some texts, and where each text ends."""
+        look = self.chunks.__getitem__
+        lists = [list(map(look, t.replace("\n", f" {BREAK} ").split())) for t in texts]
+        chunks = np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+        ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
+        begin, size, letter, parts = np.array(self.begin, np.int64), np.array(self.size, np.int64), np.frombuffer(bytes(self.letter), np.uint8), np.array(self.parts, np.int64)
+        # four single letters in a row are a word written with blanks between its letters
+        run = letter[chunks] if chunks.size else np.zeros(0, np.uint8)
+        spaced = np.flatnonzero(run[3:] & run[2:-1] & run[1:-2] & run[:-3]) if run.size > 3 else ()
+        slow = sorted(set(np.searchsorted(ends, spaced, side="right").tolist())) if len(spaced) else []
+        n = size[chunks] if chunks.size else np.zeros(0, np.int64)
+        before = np.cumsum(n) - n
+        codes = parts[np.repeat(begin[chunks] - before, n) + np.arange(n.sum())] if n.size and n.sum() else np.zeros(0, np.int64)
+        text_ends = np.r_[0, np.cumsum(n)][ends] if n.size else np.zeros(len(texts), np.int64)
+        if slow:
+            pieces, at = [], 0
+            for k, e in enumerate(text_ends.tolist()):
+                pieces.append(codes[at:e])
+                at = e
+            for k in slow:
+                pieces[k] = np.array([self.code(t) for t in tokens_of(texts[k], self.model.lexicon)], np.int64)
+            codes, text_ends = np.concatenate(pieces), np.cumsum([x.size for x in pieces], dtype=np.int64)
+        return codes, text_ends
+
+
+def runs_at(places: np.ndarray, codes: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the runs of 2 to ``CONTEXT`` tokens that end at some places; what is before a text is the token between sentences."""
+    begin = np.r_[0, ends][np.searchsorted(ends, places, side="right")]
+    key, out = hashes[codes[places]] if places.size else np.zeros(0, np.uint64), []
+    for k in range(1, CONTEXT):
+        before = np.where(places - k >= begin, codes[np.maximum(places - k, 0)], 0) if places.size else places
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[before]
+        out.append(key)
+    return out
+
+
+def score_of(reader: Reader, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Scores of tokens: the log-odds of each, at most those of the longest run ending there that the model knows."""
+    scores, m = reader.score[codes], reader.model
+    hot = np.flatnonzero(scores > 0)
+    if hot.size and m.runs.size:
+        most = np.full(hot.size, np.inf)
+        for key in runs_at(hot, codes, ends, reader.hash):
+            at = np.minimum(np.searchsorted(m.runs, key), m.runs.size - 1)
+            known = m.runs[at] == key
+            most[known] = m.most[at[known]]
+        scores[hot] = np.minimum(scores[hot], most)
+    return np.round(scores / GRAIN) * GRAIN
+
+
+def batches_of(texts: list[str], most: int = 8_000_000) -> Iterator[list[str]]:
+    """The texts in order, in lists of bounded length."""
+    held, length = [], 0
+    for t in texts:
+        held.append(t)
+        length += len(t)
+        if length > most:
+            yield held
+            held, length = [], 0
+    if held:
+        yield held
+
+
+def rises(scores: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the greatest sum of scores of a run that ends there within its group (a number that never falls), and the
+    prefix sums before each token, lowered so that no run reaches into another group. Scores are multiples of ``GRAIN``, so that
+    sums are exact, whatever the other texts."""
+    through = np.cumsum(scores)
+    before = through - scores
+    lower = groups * np.ceil(through.max() - through.min() + np.abs(scores).max() + 1.0) if scores.size else through
+    before = before - lower
+    return through - lower - np.minimum.accumulate(before), before
+
+
+def best_of(scores: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The greatest segment score of each text, 0 if there is none."""
+    size = np.diff(np.r_[0, ends])
+    out = np.zeros(ends.size)
+    if scores.size:
+        run, _ = rises(scores, np.repeat(np.arange(ends.size), size))
+        solid = np.flatnonzero(size)
+        out[solid] = np.maximum(0.0, np.maximum.reduceat(run, (ends - size)[solid]))
+    return out
+
+
+def sentence_segments(codes: np.ndarray, ends: np.ndarray, scores: np.ndarray, stop: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best segment of each sentence that scores at least ``least``: texts, starts, ends and scores. ``stop`` is the code of the
+    token between sentences."""
+    nothing = np.zeros(0, np.int64)
+    if not codes.size:
+        return nothing, nothing, nothing, np.zeros(0)
+    size = np.diff(np.r_[0, ends])
+    text = np.repeat(np.arange(ends.size), size)
+    cut = codes == stop
+    own = np.where(cut, -1.0, scores)
+    # both a new text and the token between sentences begin a group
+    group = np.cumsum(np.r_[0, np.diff(text) > 0] | cut | np.r_[False, cut[:-1]])
+    run, before = rises(own, group)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    best = np.maximum.reduceat(run, starts)
+    found = np.flatnonzero(best >= max(least, 1e-9))
+    stops = np.r_[starts[1:], codes.size]
+    segment = []
+    for k in found.tolist():
+        a, z = starts[k], stops[k]
+        e = a + int(np.argmax(run[a:z]))
+        segment.append((e - int(np.argmin(before[a : e + 1][::-1])), e + 1))
+    pairs = np.array(segment, np.int64).reshape(-1, 2)
+    return text[starts[found]], pairs[:, 0], pairs[:, 1], best[found]
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in all segments, and the segment of each."""
+    n = ends - starts
+    which = np.repeat(np.arange(n.size), n)
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum()), which
+
+
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``(start, end, score)``, in linear time (Ruzzo and Tompa)."""
     found: list[list] = []  # start, end, sum before, sum through
@@ -159,12 +322,11 @@ class Model:
     log_k: float = 0.0
     unknown: float = -DRIFT
     threshold: float = 1e-3
-    #: segments with the tokens next to them that clean texts have, and hardly any toxic one
-    neutral: frozenset[tuple[str, ...]] = frozenset()
-
-    def score_tokens(self, tokens: list[str]) -> list[float]:
-        get, unknown = self.scores.get, self.unknown
-        return [get(t, unknown) for t in tokens]
+    #: hashes of runs of tokens, sorted, and the most that their last token may score
+    runs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: votes on the labelled texts, at most ``MAX_LABELLED``
+    labels: dict = field(default_factory=dict)
 
     def p_value(self, score: float, n: int) -> float:
         """Probability that the best segment of ``n`` neutral tokens scores as high."""
@@ -173,25 +335,20 @@ class Model:
         return -math.expm1(-math.exp(min(50.0, self.log_k + math.log(n) - self.rate * score)))
 
 
-def fit_scores(positive: Counter, every: Counter, n_positive: float, n_every: float) -> dict[str, float]:
+def log_odds(positive: np.ndarray, every: np.ndarray, n_positive: float, n_every: float) -> np.ndarray:
     """Log-odds of tokens in toxic passages against all others, the prior's mean being the base rate."""
     base = n_positive / max(n_every, 1.0)
-    out = {}
-    for w, c in every.items():
-        y = min(positive.get(w, 0), c)
-        odds = (y + PRIOR * base) / (c - y + PRIOR * (1 - base))
-        out[w] = max(LOW, min(HIGH, math.log(odds * (1 - base) / base))) - DRIFT
-    out[BREAK] = BREAK_SCORE
-    return out
+    y = np.minimum(positive, every)
+    odds = (y + PRIOR * base) / (every - y + PRIOR * (1 - base))
+    return np.clip(np.log(odds * (1 - base) / base), LOW, HIGH) - DRIFT
 
 
-def calibrate_rate(model: Model, background: Counter) -> None:
+def calibrate_rate(model: Model, scores: np.ndarray, background: np.ndarray) -> None:
     """Lambda from the scores of the background's tokens."""
-    total = sum(background.values())
+    total = background.sum()
     if not total:
         return
-    s = np.array([model.scores.get(w, model.unknown) for w in background])
-    p = np.array(list(background.values()), float) / total
+    s, p = scores, background / total
     low, high = 1e-3, 20.0
     if (s > 0).any() and (p * s).sum() < 0:
         for _ in range(60):
@@ -203,9 +360,9 @@ def calibrate_rate(model: Model, background: Counter) -> None:
         model.rate = low
 
 
-def step_of(model: Model, score: float, n: int) -> int:
-    """The histogram step of a score in a text of ``n`` tokens."""
-    return math.floor(STEPS * min(GREATEST_X, max(LEAST_X, model.rate * score - math.log(n))))
+def steps_of(model: Model, scores: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The histogram steps of scores in texts of ``n`` tokens."""
+    return np.floor(STEPS * np.clip(model.rate * scores - np.log(n), LEAST_X, GREATEST_X)).astype(np.int64)
 
 
 def calibrate_k(model: Model, bests: dict[int, tuple[int, int]]) -> None:
@@ -234,120 +391,150 @@ def votes(labels: DataFrame) -> DataFrame:
     return share.filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).alias("toxic"))
 
 
-def in_context(tokens: list[str], start: int, end: int) -> tuple[str, ...]:
-    """A segment with the token on either side."""
-    return (tokens[start - 1] if start else BREAK, *tokens[start:end], tokens[end] if end < len(tokens) else BREAK)
-
-
-def _ruled(model: Model, tokens: list[str], least: float) -> list[tuple[int, int, float]]:
-    scores = model.score_tokens(tokens)
-    if not any(s > 0 for s in scores):
-        return []
-    found = [x for x in segments(scores) if x[2] >= least]
-    return [x for x in found if in_context(tokens, x[0], x[1]) not in model.neutral] if model.neutral else found
-
-
-def learn_neutral(model: Model, data: list[tuple[list[str], bool]]) -> None:
-    """Passages that look toxic by their tokens but are in clean texts: technical uses of such words."""
-    toxic_docs, clean_docs = Counter(), Counter()
-    for tokens, toxic in data:
-        (toxic_docs if toxic else clean_docs).update({in_context(tokens, a, e) for a, e, s in _ruled(model, tokens, SEED_SCORE / 2)})
-    model.neutral = frozenset(k for k, n in clean_docs.items() if (n >= 2 or len(k) < 5) and n > 2 * toxic_docs[k])
-
-
-def sentence_segments(model: Model, tokens: list[str]) -> list[tuple[int, int, float]]:
-    """The best segment of each sentence."""
-    out, at = [], 0
-    if not any(model.scores.get(t, 0.0) > 0 for t in tokens):
-        return out
-    for k in [*(i for i, t in enumerate(tokens) if t == BREAK), len(tokens)]:
-        if k > at:
-            best = max(_ruled(model, tokens[at:k], 0.0), key=lambda x: x[2], default=None)
-            if best:
-                out.append((at + best[0], at + best[1], best[2]))
-        at = k + 1
-    return out
-
-
-def weigh_labels(model: Model, data: list[tuple[list[str], bool]]) -> None:
+@dataclass
+class Labelled:
+    """The labelled texts as token codes."""
+
+    reader: Reader
+    codes: np.ndarray
+    ends: np.ndarray
+    toxic: np.ndarray
+
+    @property
+    def tokens(self) -> list[str]:
+        return self.reader.tokens
+
+    def counts(self, places: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.codes if places is None else self.codes[places], minlength=len(self.tokens)).astype(float)
+
+    def support(self, places: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """In how many texts each token is, at some places."""
+        unique = np.unique(texts * len(self.tokens) + self.codes[places])
+        return np.bincount(unique % len(self.tokens), minlength=len(self.tokens)).astype(float)
+
+
+def read_labelled(texts: list[tuple[str, bool]], terms: list[str]) -> Labelled:
+    """The labelled texts, obfuscated words resolved against the words of all of them and the terms."""
+    first = Reader(Model(Lexicon(), {}))
+    for part in batches_of([t for t, _ in texts]):
+        first.read(part)
+    lexicon = Lexicon(frozenset(w for w in first.tokens if w.isalpha() and len(w) > 2) | {p for t in terms for p in _parts(clean(t))})
+    reader = Reader(Model(lexicon, {}))
+    codes, ends, at = [], [], 0
+    for part in batches_of([t for t, _ in texts]):
+        c, e = reader.read(part)
+        codes.append(c)
+        ends.append(e + at)
+        at += c.size
+    return Labelled(reader, np.concatenate([*codes, np.zeros(0, np.int64)]), np.concatenate([*ends, np.zeros(0, np.int64)]), np.array([toxic for _, toxic in texts], bool))
+
+
+def weigh_labels(model: Model, data: Labelled) -> None:
     """Correct the scores by the labels of the texts whose segments have the token: log-odds of being in segments of toxic
-    rather than of clean texts, with the shares of all segments as prior mean."""
+    rather than of clean texts. Tokens are estimated by themselves and as the last of runs of up to ``CONTEXT``, the estimate of
+    the shorter run being the mean of the Dirichlet prior of the longer: a word that insults people may be harmless of others,
+    and scores by the longest run if that is rather in clean texts."""
+    reader = data.reader
+    reader.model = model
+    scores = np.array([model.scores.get(t, model.unknown) for t in data.tokens])
+    reader.score[: scores.size] = scores
+    most: dict[int, float] = {}
     for _ in range(3):
-        toxic_docs, clean_docs = Counter(), Counter()
-        for tokens, toxic in data:
-            own = {w for a, e, s in sentence_segments(model, tokens) if s >= SEED_SCORE / 2 for w in tokens[a:e] if model.scores.get(w, 0) > 0}
-            (toxic_docs if toxic else clean_docs).update(own)
-        for w in clean_docs:
-            more = math.log((toxic_docs[w] + 0.5) / (clean_docs[w] + 0.5))
-            if more < 1:
-                model.scores[w] = max(LOW - DRIFT, model.scores[w] + min(0.0, more - 1))
+        text, a, e, _s = sentence_segments(data.codes, data.ends, score_of(reader, data.codes, data.ends), 0, SEED_SCORE / 2)
+        places, which = spread(a, e)
+        hot = reader.score[data.codes[places]] > 0
+        places, texts = places[hot], text[which[hot]]
+        share = np.full(places.size, 0.5)
+        for k, key in enumerate([data.codes[places], *runs_at(places, data.codes, data.ends, reader.hash)]):
+            # texts, not occurrences, are counted
+            unique, place, which = np.unique(key, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([which, texts]), axis=1)
+            toxic, harmless = (np.bincount(pairs[0][data.toxic[pairs[1]] == x], minlength=unique.size)[which] for x in (True, False))
+            weight = SHRINK if k else 1.0
+            share = (toxic + weight * share) / (toxic + harmless + weight)
+            odds = np.log(share / (1 - share))
+            if k:
+                most.update(zip(unique.tolist(), np.where(odds < 0, odds, np.inf)[place].tolist()))
+            else:
+                down = np.where(harmless > 0, np.minimum(0.0, odds - 1), 0.0)[place]
+                drop = unique, down
+        reader.score[drop[0]] = np.maximum(np.minimum(LOW - DRIFT, reader.score[drop[0]]), reader.score[drop[0]] + drop[1])
+        model.runs = np.array(sorted(most), np.uint64)
+        model.most = np.array([most[int(h)] for h in model.runs])
+    model.scores = dict(zip(data.tokens, reader.score[: len(data.tokens)].tolist()))
 
 
-def seed_model(texts: list[tuple[str, bool]], terms: list[str]) -> Model | None:
+def seed_model(data: Labelled, terms: list[str]) -> Model | None:
     """A model from labelled texts alone, in three rounds: whole texts, then the segments found in positive ones."""
-    first = Lexicon()
-    raw = [(tokens_of(t, first), toxic) for t, toxic in texts]
-    if not any(toxic for _, toxic in raw):
+    if not data.toxic.any():
         return None
-    seen = Counter(w for tokens, _ in raw for w in tokens)
-    lexicon = Lexicon(frozenset(w for w in seen if w.isalpha() and len(w) > 2) | {p for t in terms for p in _parts(clean(t))})
-    data = [(tokens_of(t, lexicon), toxic) for t, toxic in texts]
-    every = Counter(w for tokens, _ in data for w in tokens)
-    total = sum(every.values())
-    positive = Counter(w for tokens, toxic in data if toxic for w in tokens)
-    model = Model(lexicon, fit_scores(positive, every, sum(positive.values()), total))
-    seeds = {p for t in terms for p in _parts(clean(t))}
+    text = np.repeat(np.arange(data.ends.size), np.diff(np.r_[0, data.ends]))
+    # texts are counted, so that a passage repeated in one weighs no more
+    every = data.support(np.arange(data.codes.size), text)
+    total = every.sum()
+    bad = np.flatnonzero(data.toxic[text])
+    positive = data.support(bad, text[bad])
+    if not positive.sum():
+        return None
+    scores = log_odds(positive, every, positive.sum(), total)
+    scores[0] = BREAK_SCORE
+    seeds = np.array(sorted(data.reader.codes[p] for t in set(terms) for p in set(_parts(clean(t))) if p in data.reader.codes), np.int64)
     for _ in range(3):
-        positive, support = Counter(), Counter()
-        for tokens, toxic in data:
-            if toxic:
-                best = max(sentence_segments(model, tokens), key=lambda x: x[2], default=None)
-                if best and best[2] >= SEED_SCORE / 2:
-                    positive.update(tokens[best[0] : best[1]])
-                    support.update(set(tokens[best[0] : best[1]]))
+        of, a, e, s = sentence_segments(data.codes, data.ends, scores[data.codes], 0, SEED_SCORE / 2)
+        keep = data.toxic[of]
+        of, a, e, s = of[keep], a[keep], e[keep], s[keep]
+        # the best of each text
+        order = np.lexsort((a, -s, of))
+        order = order[np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])] if order.size else order
+        places, which = spread(a[order], e[order])
+        support = data.support(places, of[order][which])
         # what only one text has may be there by a wrong label
-        positive = Counter({w: n if support[w] > 1 else 0.3 * n for w, n in positive.items()})
-        for w in seeds & every.keys():
-            positive[w] = min(every[w], positive[w] + 1)
-        n = sum(positive.values())
+        positive = np.where(support > 1, support, 0.3 * support)
+        positive[seeds] = np.minimum(every[seeds], positive[seeds] + 1)
+        n = positive.sum()
         if not n:
             return None
-        model = Model(lexicon, fit_scores(positive, every, n, total))
+        scores = log_odds(positive, every, n, total)
+        scores[0] = BREAK_SCORE
+    model = Model(data.reader.model.lexicon, dict(zip(data.tokens, scores.tolist())))
     weigh_labels(model, data)
-    calibrate_rate(model, every - positive)
+    calibrate_rate(model, data.reader.score[: scores.size], every - np.minimum(positive, every))
     return model
 
 
-def corpus_counts(texts: DataFrame, model: Model, tokens_too: bool = True) -> DataFrame:
+def corpus_counts(texts: DataFrame, model: Model) -> DataFrame:
     """``(token, step, n, toxic)`` over all texts: with a null step the counts of all tokens; with a step the counts of tokens
     in segments of that step that score at least ``SEED_SCORE``; with a null token, the texts whose best score is in the step
     (``n``), and those without a positive score (``toxic``), whose step is an upper bound."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, n, toxic = shared.value, Counter(), Counter()
+        m = shared.value
+        reader, n, toxic, texts_at = Reader(m), np.zeros(0, np.int64), Counter(), Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                tokens = tokens_of(t, m.lexicon)
-                if not tokens:
-                    continue
-                best = max((x[2] for x in _ruled(m, tokens, 0.0)), default=0.0)
-                (n if best > 0 else toxic)[None, step_of(m, best, len(tokens))] += 1
-                if tokens_too:
-                    n.update((w, None) for w in tokens)
-                    for a, e, s in sentence_segments(m, tokens):
-                        if s >= SEED_SCORE:
-                            step = step_of(m, s, len(tokens))
-                            toxic.update((w, step) for w in tokens[a:e])
-            if len(n) + len(toxic) > 400_000:
-                yield emit(n, toxic)
-                n, toxic = Counter(), Counter()
-        yield emit(n, toxic)
-
-    def emit(n: Counter, toxic: Counter) -> pa.RecordBatch:
-        keys = list(n.keys() | toxic.keys())
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (n, toxic))]
-        return pa.RecordBatch.from_arrays(columns, names=["token", "step", "n", "toxic"])
+            for part in batches_of(b.column(0).to_pylist()):
+                codes, ends = reader.read(part)
+                scores, size = score_of(reader, codes, ends), np.diff(np.r_[0, ends])
+                own = np.bincount(codes, minlength=len(reader.tokens))
+                own[: n.size] += n
+                n = own
+                best, solid = best_of(scores, ends), size > 0
+                texts_at.update(zip(steps_of(m, best[solid], size[solid]).tolist(), (best[solid] > 0).tolist()))
+                of, a, e, s = sentence_segments(codes, ends, scores, 0, SEED_SCORE)
+                places, which = spread(a, e)
+                toxic.update(zip(codes[places].tolist(), steps_of(m, s, size[of])[which].tolist()))
+            if len(reader.chunks) > Reader.FULL or len(toxic) > 400_000:
+                yield emit(reader, n, toxic, texts_at)
+                reader, n, toxic, texts_at = Reader(m), np.zeros(0, np.int64), Counter(), Counter()
+                yield emit(reader, n, toxic, texts_at)
+
+    def emit(reader: Reader, n: np.ndarray, toxic: Counter, texts_at: Counter) -> pa.RecordBatch:
+        steps = sorted({k for k, _ in texts_at})
+        token = [*reader.tokens[: n.size], *(reader.tokens[k] for k, _ in toxic), *[None] * len(steps)]
+        step = [*[None] * n.size, *(k for _, k in toxic), *steps]
+        count = [*n.tolist(), *[0] * len(toxic), *(texts_at[k, True] for k in steps)]
+        bad = [*[0] * n.size, *toxic.values(), *(texts_at[k, False] for k in steps)]
+        return pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(step, pa.int32()), pa.array(count, pa.int64()), pa.array(bad, pa.int64())], names=["token", "step", "n", "toxic"])
 
     return texts.mapInArrow(run, "token string, step int, n bigint, toxic bigint").groupBy("token", "step").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
@@ -358,18 +545,16 @@ def best_steps(counts: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
-    """The model of a corpus."""
-    from corpusloom.runtime import materialize
-
+    """The model of a corpus; K and the threshold come from the scores, see ``score_documents``."""
     labelled = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     sample = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(labelled), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     words = [r[0] for r in terms.select("term").filter("term is not null").distinct().orderBy("term").collect()]
-    texts = [(r["text"], r["toxic"]) for r in sample]
-    model = seed_model(texts, words)
+    data = read_labelled([(r["text"], r["toxic"]) for r in sample], words)
+    model = seed_model(data, words)
     if model is None:
         return None
+    model.labels = {r["doc_id"]: r["toxic"] for r in sample}
     whole = documents.select(F.col(text).alias("text")).filter("text is not null")
-    data = [(tokens_of(t, model.lexicon), toxic) for t, toxic in texts]
     for k in range(CORPUS_ROUNDS):
         steps = materialize(corpus_counts(whole, model), f"tokens{k}")
         calibrate_k(model, best_steps(steps))
@@ -378,22 +563,19 @@ def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, key: str = "d
         counts = steps.filter("token IS NOT NULL").groupBy("token").agg(F.sum(F.when(F.col("step").isNull(), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("step") >= certain, F.col("toxic")).otherwise(0)).alias("toxic"))
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         if not total[1]:
-            break
+            break  # no certain segment: the model stays as it is
         # a token that is never toxic scores by its count alone; those that common are few by definition
-        kept = counts.filter((F.col("toxic") >= 1) & (F.col("toxic") >= total[1] * TOKEN_SHARE) | (F.col("n") >= total[0] * TOKEN_SHARE * 10)).collect()
-        every = Counter({r["token"]: r["n"] for r in kept})
-        positive = Counter({r["token"]: r["toxic"] for r in kept if r["toxic"]})
-        model = Model(model.lexicon, fit_scores(positive, every, total[1], total[0]))
+        kept = counts.filter((F.col("toxic") >= 1) & (F.col("toxic") >= total[1] * TOKEN_SHARE) | (F.col("n") >= total[0] * TOKEN_SHARE * 10)).toArrow()
+        every, positive = (kept[c].to_numpy().astype(float) for c in ("n", "toxic"))
+        codes = np.array([data.reader.code(t) for t in kept["token"].to_pylist()], np.int64)
+        scores = np.full(len(data.tokens), -DRIFT)
+        scores[codes] = log_odds(positive, every, total[1], total[0])
+        scores[0] = BREAK_SCORE
+        background = np.zeros(scores.size)
+        background[codes] = every - np.minimum(positive, every)
+        model = Model(model.lexicon, {data.tokens[c]: float(scores[c]) for c in np.union1d(codes, [0])}, labels=model.labels)
         weigh_labels(model, data)
-        learn_neutral(model, data)
-        calibrate_rate(model, every - positive)
-    else:
-        k = CORPUS_ROUNDS
-    if not k:
-        return model  # no certain segment: the model of the labelled texts, with K of all texts
-    calibrate_k(model, best_steps(corpus_counts(whole, model, tokens_too=False)))
-    bests = [(max((x[2] for x in _ruled(model, tokens, 0.0)), default=0.0), len(tokens)) for tokens, _ in data]
-    model.threshold = best_threshold([(model.p_value(b, n), toxic) for (b, n), (_, toxic) in zip(bests, data)])
+        calibrate_rate(model, data.reader.score[: scores.size], background)
     return model
 
 
@@ -411,34 +593,76 @@ def best_threshold(ranked: list[tuple[float, bool]]) -> float:
     return min((at for f, at in points if f >= best - F1_SLACK), default=1e-3)
 
 
-SCORED = "toxicity double, p_value double, n_passages int, passage string, toxic boolean"
+SCORED = "score double, n_tokens int, passages array<struct<score: double, passage: string>>"
 
 
-def score_documents(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, source, toxicity, p_value, n_passages, passage, toxic)`` of every row; ``toxicity`` is -log10 of the p-value, at
-    most 50, and ``passage`` the tokens of the best segment."""
+def raw_scores(documents: DataFrame, model: Model | None, key: str, text: str) -> DataFrame:
+    """``(key, source, score, n_tokens, passages)`` of every row: the best segment's score, and all maximal segments of those that
+    score at least ``SEED_SCORE / 2``."""
     rows = documents.select(F.col(key).alias("key"), "source", F.col(text).alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        reader = Reader(m or Model(Lexicon(), {}))
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                tokens = tokens_of(t, m.lexicon) if m and t else []
-                found = _ruled(m, tokens, 0.0) if tokens else []
-                if not found:
-                    out.append((0.0, 1.0, 0, None, False))
-                    continue
-                a, e, s = max(found, key=lambda x: x[2])
-                p = m.p_value(s, len(tokens))
-                n = sum(m.p_value(x[2], len(tokens)) <= m.threshold for x in found)
-                out.append((min(50.0, max(0.0, -math.log10(max(p, 1e-50)))), p, n, " ".join(tokens[a:e]) if n else None, p <= m.threshold))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["key", "source", "toxicity", "p_value", "n_passages", "passage", "toxic"])
+            best, size, found = [np.zeros(0)], [np.zeros(0, np.int64)], []
+            for part in batches_of([t or "" for t in b.column(2).to_pylist()]) if m else ():
+                codes, ends = reader.read(part)
+                scores, n = score_of(reader, codes, ends), np.diff(np.r_[0, ends])
+                top = best_of(scores, ends)
+                for k, e in enumerate(ends.tolist()):
+                    found.append(passages(reader, codes[e - n[k] : e], scores[e - n[k] : e]) if top[k] >= SEED_SCORE / 2 else [])
+                best.append(top)
+                size.append(n)
+                if len(reader.chunks) > Reader.FULL:
+                    reader.clear()
+            if not m:
+                best, size, found = [np.zeros(b.num_rows)], [np.zeros(b.num_rows, np.int64)], [[]] * b.num_rows
+            kind = pa.list_(pa.struct([("score", pa.float64()), ("passage", pa.string())]))
+            columns = [pa.array(np.concatenate(best)), pa.array(np.concatenate(size), pa.int32()), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["key", "source", "score", "n_tokens", "passages"])
+
+    def passages(reader: Reader, codes: np.ndarray, scores: np.ndarray) -> list[dict]:
+        return [{"score": s, "passage": " ".join(reader.tokens[c] for c in codes[a:e])} for a, e, s in segments(scores.tolist()) if s >= SEED_SCORE / 2]
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, source string, {SCORED}").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, source string, {SCORED}")
+
+
+def score_documents(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, source, toxicity, p_value, n_passages, passage, passages, toxic)`` of every row; ``toxicity`` is -log10 of the p-value, at
+    most 50, ``passages`` are the tokens of all significant segments and ``passage`` those of the best.
+
+    Texts are read once: the scores are written, K comes from the histogram of all of them, the threshold from the labels."""
+    raw = materialize(raw_scores(documents, model, key, text), "scores")
+    if model is not None:
+        x = F.floor(STEPS * F.least(F.lit(GREATEST_X), F.greatest(F.lit(LEAST_X), F.lit(model.rate) * F.col("score") - F.log(F.col("n_tokens")))))
+        places = raw.filter("n_tokens > 0").groupBy(x.cast("int").alias("step")).agg(F.count_if(F.col("score") > 0).alias("n"), F.count_if(F.col("score") <= 0).alias("toxic"))
+        calibrate_k(model, {r["step"]: (r["n"], r["toxic"]) for r in places.collect()})
+        own = raw.join(F.broadcast(documents.sparkSession.createDataFrame(list(model.labels.items()), f"key {raw.schema['key'].dataType.simpleString()}, label boolean")), "key") if model.labels else None
+        if own is not None:
+            seen = {r["key"]: (model.p_value(r["score"], r["n_tokens"]), r["label"]) for r in own.select("key", "score", "n_tokens", "label").collect()}
+            model.threshold = best_threshold(list(seen.values()))
+    m = model or Model(Lexicon(), {})
+
+    def p_value(score: Column) -> Column:
+        x = F.least(F.lit(50.0), F.lit(m.log_k) + F.log(F.col("n_tokens")) - F.lit(m.rate) * score)
+        return F.when((score <= 0) | (F.col("n_tokens") == 0), F.lit(1.0)).otherwise(-F.expm1(-F.exp(x)))
+
+    scored = raw.withColumn("p_value", p_value(F.col("score")))
+    significant = F.filter("passages", lambda x: p_value(x["score"]) <= F.lit(m.threshold))
+    best = F.array_max(F.transform("passages", lambda x: F.struct(x["score"].alias("score"), x["passage"].alias("passage"))))["passage"]
+    return scored.select(
+        F.col("key").alias(key),
+        "source",
+        F.least(F.lit(50.0), F.greatest(F.lit(0.0), -F.log10(F.greatest("p_value", F.lit(1e-50))))).alias("toxicity"),
+        "p_value",
+        F.size(significant).alias("n_passages"),
+        F.when(F.size(significant) > 0, best).alias("passage"),
+        F.transform(significant, lambda x: x["passage"]).alias("passages"),
+        (F.col("p_value") <= F.lit(m.threshold)).alias("toxic"),
+    )
 
 
 def source_rates(scored: DataFrame) -> DataFrame:

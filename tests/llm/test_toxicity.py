@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,7 +103,7 @@ def test_k_from_a_histogram_with_censored_texts():
         for i in range(20_000):
             n = rng.choice([20, 60, 200])
             score = log_k + math.log(n) - math.log(-math.log(rng.random()))
-            at = bests.setdefault(T.step_of(model, score if score > least else least, n), [0, 0])
+            at = bests.setdefault(int(T.steps_of(model, np.array([score if score > least else least]), np.array([n]))[0]), [0, 0])
             # a score of at most ``least`` is only known to be no higher
             at[score <= least] += 1
         T.calibrate_k(model, {k: tuple(v) for k, v in bests.items()})
@@ -118,15 +119,69 @@ def test_k_is_that_of_all_texts(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     lab = spark.createDataFrame(labels, "doc_id bigint, annotator string, label string, labelled_at timestamp")
     m = T.fit(d, lab, spark.createDataFrame([("cretino",)], "term string"))
-    bests = {}
+    scored = T.score_documents(d, m).collect()
+    bests, reader = {}, T.Reader(m)
     for _, text, _ in rows:
-        tokens = T.tokens_of(text, m.lexicon)
-        score = max((x[2] for x in T._ruled(m, tokens, 0.0)), default=0.0)
-        bests.setdefault(T.step_of(m, score, len(tokens)), [0, 0])[score <= 0] += 1
+        codes, ends = reader.read([text])
+        score = T.best_of(T.score_of(reader, codes, ends), ends)
+        at = bests.setdefault(int(T.steps_of(m, score, ends)[0]), [0, 0])
+        at[int(score[0] <= 0)] += 1
     wanted = T.Model(m.lexicon, m.scores, m.rate)
     T.calibrate_k(wanted, bests)
     assert wanted.log_k == m.log_k
     # the threshold follows the labels, not a fixed p-value
-    scored = T.score_documents(d, m).collect()
     found = {r.doc_id for r in scored if r.toxic and r.doc_id in toxic}
     assert len(found) >= 0.9 * len(toxic)
+    for r in scored:
+        assert len(r.passages) == r.n_passages and (r.passage in r.passages if r.n_passages else r.passage is None)
+        assert math.isclose(r.p_value, m.p_value(*next((float(T.best_of(T.score_of(reader, c, e), e)[0]), int(e[0])) for c, e in [reader.read([rows[r.doc_id][1]])])), rel_tol=1e-9, abs_tol=1e-12)
+
+
+TEXTS = ["I N Ú T I L é você!", "a b c d", "c.r.e.t.i.n.o\nd3líc14 babaaaaca", "", " \n ", "raça in\u200bferior; VMB61 ´x", "a b\nc d e f g h cretino", "x " * 5, "¶ só isto."]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(TEXTS) | st.text(alphabet="ab é.,!\n01$\u200b´-", max_size=30), max_size=6))
+def test_reader_agrees_with_the_plain_tokeniser(texts):
+    lexicon = T.Lexicon(frozenset("cretino inutil delicia babaca burro raca inferior".split()))
+    reader = T.Reader(T.Model(lexicon, {"cretino": 4.0}))
+    for _ in range(2):
+        codes, ends = reader.read(texts)
+        at = 0
+        for t, e in zip(texts, ends.tolist()):
+            assert [reader.tokens[c] for c in codes[at:e]] == T.tokens_of(t, lexicon)
+            at = e
+    assert reader.score[reader.code("cretino")] == 4.0 and reader.score[reader.code("ab")] == -T.DRIFT
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([-3.0, -1.5, -0.25, 0.5, 1.25, 4.125, None]), max_size=10), max_size=5))
+def test_array_scans_agree_with_the_segments(texts):
+    flat = [x for t in texts for x in t]
+    codes = np.array([0 if x is None else 1 for x in flat], np.int64)
+    scores = np.array([T.BREAK_SCORE if x is None else x for x in flat])
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    plain = [[T.BREAK_SCORE if x is None else x for x in t] for t in texts]
+    assert np.allclose(T.best_of(scores, ends), [max((s for *_, s in T.segments(t)), default=0.0) for t in plain])
+    found = {(int(k), int(a), int(e)): s for k, a, e, s in zip(*T.sentence_segments(codes, ends, scores, 0, 1.0))}
+    wanted, at = [], 0
+    for k, t in enumerate(texts):
+        sentence = []
+        for x in [*t, None]:
+            if x is None:
+                best = max((s for *_, s in T.segments(sentence)), default=0.0)
+                wanted += [(k, best)] * (best >= 1.0)
+                sentence = []
+            else:
+                sentence.append(x)
+    assert sorted((k, round(s, 9)) for (k, _, _), s in found.items()) == sorted((k, round(s, 9)) for k, s in wanted)
+    assert all(math.isclose(scores[a:e].sum(), s) and 0 not in codes[a:e] for (_, a, e), s in found.items())
+
+
+def test_a_harmless_run_scores_by_itself():
+    texts = [("esses homens sao uma praga", True), ("as torres sao uma praga", True)] * 6 + [("os cupins sao uma praga", False)] * 8 + [("o piloto revisa o plano", False)] * 60
+    data = T.read_labelled(texts, ["praga"])
+    model = T.seed_model(data, ["praga"])
+    reader = T.Reader(model)
+    best = lambda t: float(T.best_of(T.score_of(reader, *reader.read([t])), reader.read([t])[1])[0])
+    assert best("esses homens sao uma praga") > 3 > 1 > best("os cupins sao uma praga")
