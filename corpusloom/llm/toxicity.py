@@ -39,7 +39,7 @@ MAX_LABELLED = 20_000
 PRIOR, DRIFT, LOW, HIGH = 4.0, 0.35, -3.0, 7.0
 #: Least score of a segment of a positive text, and of any text, that counts as toxic while fitting.
 SEED_SCORE, CERTAIN = 5.0, 1e-4
-F1_SLACK = 0.004
+SLACK = 0.5
 #: Rounds of fitting on the segments of all texts.
 CORPUS_ROUNDS = 2
 #: Tokens of the longest run that labels are counted of, and the weight of a shorter run's estimate, in texts.
@@ -526,7 +526,7 @@ def corpus_counts(texts: DataFrame, model: Model) -> DataFrame:
             if len(reader.chunks) > Reader.FULL or len(toxic) > 400_000:
                 yield emit(reader, n, toxic, texts_at)
                 reader, n, toxic, texts_at = Reader(m), np.zeros(0, np.int64), Counter(), Counter()
-                yield emit(reader, n, toxic, texts_at)
+        yield emit(reader, n, toxic, texts_at)
 
     def emit(reader: Reader, n: np.ndarray, toxic: Counter, texts_at: Counter) -> pa.RecordBatch:
         steps = sorted({k for k, _ in texts_at})
@@ -580,8 +580,8 @@ def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, key: str = "d
 
 
 def best_threshold(ranked: list[tuple[float, bool]]) -> float:
-    """The probability below which texts are called toxic: the least that has the best F1 on the labelled texts, but for
-    ``F1_SLACK``; midway (in logs) to the next text."""
+    """The probability below which texts are called toxic: the least whose F1 on the labelled texts is within
+    ``SLACK`` standard errors of the best; midway (in logs) to the next text."""
     order = sorted(ranked)
     wanted, hits, points = sum(t for _, t in order), 0, []
     for k, (p, toxic) in enumerate(order):
@@ -590,7 +590,8 @@ def best_threshold(ranked: list[tuple[float, bool]]) -> float:
             following = order[k + 1][0] if k + 1 < len(order) else 1.0
             points.append((2 * hits / (k + 1 + wanted), math.sqrt(max(p, 1e-12) * max(following, 1e-12))))
     best = max((f for f, _ in points), default=0.0)
-    return min((at for f, at in points if f >= best - F1_SLACK), default=1e-3)
+    slack = SLACK * math.sqrt(best * (1 - best) / max(1, wanted))
+    return min((at for f, at in points if f >= best - slack), default=1e-3)
 
 
 SCORED = "score double, n_tokens int, passages array<struct<score: double, passage: string>>"
