@@ -520,9 +520,12 @@ def corpus_counts(texts: DataFrame, model: Model) -> DataFrame:
                 n = own
                 best, solid = best_of(scores, ends), size > 0
                 texts_at.update(zip(steps_of(m, best[solid], size[solid]).tolist(), (best[solid] > 0).tolist()))
-                of, a, e, s = sentence_segments(codes, ends, scores, 0, SEED_SCORE)
+                # no sentence scores more than its text
+                some = np.flatnonzero(best >= SEED_SCORE)
+                within, _ = spread((ends - size)[some], ends[some])
+                of, a, e, s = sentence_segments(codes[within], np.cumsum(size[some]), scores[within], 0, SEED_SCORE)
                 places, which = spread(a, e)
-                toxic.update(zip(codes[places].tolist(), steps_of(m, s, size[of])[which].tolist()))
+                toxic.update(zip(codes[within[places]].tolist(), steps_of(m, s, size[some[of]])[which].tolist()))
             if len(reader.chunks) > Reader.FULL or len(toxic) > 400_000:
                 yield emit(reader, n, toxic, texts_at)
                 reader, n, toxic, texts_at = Reader(m), np.zeros(0, np.int64), Counter(), Counter()
@@ -530,10 +533,11 @@ def corpus_counts(texts: DataFrame, model: Model) -> DataFrame:
 
     def emit(reader: Reader, n: np.ndarray, toxic: Counter, texts_at: Counter) -> pa.RecordBatch:
         steps = sorted({k for k, _ in texts_at})
-        token = [*reader.tokens[: n.size], *(reader.tokens[k] for k, _ in toxic), *[None] * len(steps)]
-        step = [*[None] * n.size, *(k for _, k in toxic), *steps]
-        count = [*n.tolist(), *[0] * len(toxic), *(texts_at[k, True] for k in steps)]
-        bad = [*[0] * n.size, *toxic.values(), *(texts_at[k, False] for k in steps)]
+        seen = np.flatnonzero(n)
+        token = [*(reader.tokens[k] for k in seen), *(reader.tokens[k] for k, _ in toxic), *[None] * len(steps)]
+        step = [*[None] * seen.size, *(k for _, k in toxic), *steps]
+        count = [*n[seen].tolist(), *[0] * len(toxic), *(texts_at[k, True] for k in steps)]
+        bad = [*[0] * seen.size, *toxic.values(), *(texts_at[k, False] for k in steps)]
         return pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(step, pa.int32()), pa.array(count, pa.int64()), pa.array(bad, pa.int64())], names=["token", "step", "n", "toxic"])
 
     return texts.mapInArrow(run, "token string, step int, n bigint, toxic bigint").groupBy("token", "step").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
