@@ -1,8 +1,10 @@
 """History of changing attributes: every state of an entity with the period in which it held.
 
-The raw observations are kept as a change log beside the history, both split into key buckets. A late or corrected
-batch is applied by *affected-chain rebuild*: the touched keys' raw changes are read from their buckets only, all
-intervals of those keys are built anew, and the chains are replaced by switching one pointer file.
+The raw observations are kept as a change log beside the history, both in generations. A late or corrected batch is
+applied by *affected-chain rebuild*: its rows become a new generation of the log, the touched keys' raw changes are read
+from all generations (of the base only from their buckets), all intervals of those keys and no others are built anew and
+written as a new generation of the history, and one manifest file makes both current. A reader takes each key from its newest
+generation. ``compact`` is a job of its own that merges the generations into a new base.
 
 Defined results for odd input: rows with a null or blank key, a null date or ``is_latest`` other than 1 don't count;
 a null attribute is a value like any other; repeated rows and exact ties change nothing (the greatest row counts); an
@@ -11,6 +13,7 @@ empty batch leaves the history as it is; other columns of the input are ignored,
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from dataclasses import dataclass
@@ -18,15 +21,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import strip
+from corpusloom.runtime import delete_path, strip
 
 OPEN_END = "9999-12-31"
-LOG_SCHEMA = "key string, day date, version_year string, ingested_at timestamp, effective_date string, status string, snapshot_id bigint, bucket int"
-HISTORY_SCHEMA = "key string, valid_from date, valid_to date, version_year string, effective_date string, status string, bucket int"
+LOG_SCHEMA = "key string, day date, version_year string, ingested_at timestamp, effective_date string, status string, snapshot_id bigint"
+HISTORY_SCHEMA = "key string, valid_from date, valid_to date, version_year string, effective_date string, status string"
 STATE = ["version_year", "effective_date", "status"]
+#: What the counting row of a key and day is the greatest by.
+ORDER = ["version_year", "ingested_at", "snapshot_id", "effective_date", "status"]
+#: Most buckets of a base, and rows of one of its files.
+MOST_BUCKETS, FILE_ROWS = 1024, 250_000
 
 
-def daily_changes(snapshots: DataFrame, buckets: int) -> DataFrame:
+def daily_changes(snapshots: DataFrame) -> DataFrame:
     """The counting row of each key and day, in the layout of the change log.
 
     A maximum is associative, so this pre-aggregates on the map side: a key that holds a third of all rows shrinks to
@@ -36,9 +43,9 @@ def daily_changes(snapshots: DataFrame, buckets: int) -> DataFrame:
     rows = snapshots.select(
         key.alias("key"),
         F.col("snapshot_date").cast("date").alias("day"),
-        F.struct("version_year", "ingested_at", "snapshot_id", "effective_date", "status").alias("row"),
+        F.struct(*ORDER).alias("row"),
     ).where((F.col("is_latest") == 1) & (F.col("key") != "") & F.col("day").isNotNull())
-    return _best(rows).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return _best(rows)
 
 
 def _best(rows: DataFrame) -> DataFrame:
@@ -48,12 +55,13 @@ def _best(rows: DataFrame) -> DataFrame:
     )
 
 
-def build_chains(log: DataFrame) -> DataFrame:
-    """Intervals of every key of ``log`` (one row per key and day).
+def build_chains(log: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
+    """Intervals of every key of ``log`` (one row per key and day); ``place`` are columns that depend on the key and that the rows
+    may be partitioned by already.
 
     The window of a key holds at most one row per calendar day, which bounds it at any data size.
     """
-    w = Window.partitionBy("key").orderBy("day")
+    w = Window.partitionBy(*place, "key").orderBy("day")
     state = F.struct(*STATE)
     starts = log.withColumn("_before", F.lag(state).over(w)).filter(
         F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state)
@@ -63,108 +71,159 @@ def build_chains(log: DataFrame) -> DataFrame:
         F.col("day").alias("valid_from"),
         F.coalesce(F.lead("day").over(w), F.lit(OPEN_END).cast("date")).alias("valid_to"),
         *STATE,
-        "bucket",
+        *place,
     )
 
 
+class Conflict(Exception):
+    """Another writer was first."""
+
+
 @dataclass
 class HistoryStore:
-    """A change log and the history built from it, in generations of key buckets below ``path``.
+    """A change log and the history built from it, in generations below ``path``.
 
-    ``manifest`` files name, for each bucket, the folders that hold its log and its history; the one named by the
-    pointer file is current. A reader sees either the whole old or the whole new state.
+    The manifest with the highest number is current. It names the folders of all generations; the first, the base, lies in key
+    buckets, as many as its size asks for (or ``buckets``). A writer that finds the number it wanted taken rebuilds its
+    chains on what the other has made current, so neither loses anything. A reader sees either the whole old or the whole
+    new state.
     """
 
     spark: SparkSession
     path: str
-    buckets: int = 16
+    buckets: int = 0
 
     # ---- files
 
-    def _fs(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _hadoop(self, name: str = ""):
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return p, p.getFileSystem(conf)
+
+    def _names(self) -> list[str]:
+        p, fs = self._hadoop()
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _publish(self, manifest: dict) -> None:
+        """Make ``manifest`` current as the next version, unless there is one of that number."""
+        sc, name = self.spark.sparkContext, f"manifest-{manifest['version']:010d}.json"
+        new, fs = self._hadoop(f"new-{uuid.uuid4().hex}.json")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        fields = sc._jvm.org.apache.hadoop.fs
+        context = fields.FileContext.getFileContext(sc._jvm.java.net.URI(self.path), sc._jsc.hadoopConfiguration())
+        mode = sc._gateway.new_array(fields.Options.Rename, 1)
+        mode[0] = fields.Options.Rename.NONE
+        try:
+            context.rename(new, self._hadoop(name)[0], mode)
+        except Exception as e:
+            fs.delete(new, False)
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(name) from e
+            raise
 
-    def _read_text(self, name: str) -> str | None:
-        p, fs = self._fs(name)
-        if not fs.exists(p):
-            return None
+    def manifest(self) -> dict:
+        versions = [n for n in self._names() if n.startswith("manifest-")]
+        if not versions:
+            return {"version": 0, "buckets": 1, "generations": []}
+        p, fs = self._hadoop(versions[-1])
         stream = fs.open(p)
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        p, fs = self._fs(name)
-        out = fs.create(p, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    def _switch(self, manifest: dict) -> None:
-        """Write the manifest under a new name, then rename the pointer over the old one."""
-        name = f"manifest-{uuid.uuid4().hex}.json"
-        self._write_text(name, json.dumps(manifest))
-        self._write_text("pointer.new", name)
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            jvm.java.net.URI(self.path), self.spark.sparkContext._jsc.hadoopConfiguration()
-        )
-        old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}") for x in ("pointer.new", "pointer"))
-        mode = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        mode[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(old, new, mode)
-
-    def manifest(self) -> dict:
-        name = self._read_text("pointer")
-        return json.loads(self._read_text(name)) if name else {"log": {}, "history": {}}
-
-    def _read(self, part: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
-        """Rows of the given buckets (all by default); each generation folder is read with only the buckets it owns."""
-        by_folder: dict[str, list[int]] = {}
-        for b, folder in self.manifest()[part].items():
-            if buckets is None or int(b) in buckets:
-                by_folder.setdefault(folder, []).append(int(b))
-        out = self.spark.createDataFrame([], schema)
-        for folder, own in by_folder.items():
-            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").filter(F.col("bucket").isin(own)))
+    def _generations(self, part: str, manifest: dict, buckets: list[int] | None = None) -> list[DataFrame]:
+        """The rows of each generation, of the base only those in some buckets."""
+        schema, out = LOG_SCHEMA if part == "log" else HISTORY_SCHEMA, []
+        for k, folder in enumerate(manifest["generations"]):
+            rows = self.spark.read.schema(schema if k else f"{schema}, bucket int").parquet(f"{self.path}/{part}-{folder}")
+            if not k:
+                rows = (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket")
+            out.append(rows)
         return out
 
-    def log(self, buckets: list[int] | None = None) -> DataFrame:
-        return self._read("log", LOG_SCHEMA, buckets)
-
-    def history(self, buckets: list[int] | None = None) -> DataFrame:
-        return self._read("history", HISTORY_SCHEMA, buckets)
+    def log(self, manifest: dict | None = None) -> DataFrame:
+        """The counting row of every key and day."""
+        parts = self._generations("log", manifest or self.manifest())
+        rows = functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], LOG_SCHEMA)
+        return _best(rows.select("key", "day", F.struct(*ORDER).alias("row"))) if len(parts) > 1 else rows
+
+    def history(self, manifest: dict | None = None) -> DataFrame:
+        """The intervals of every key, each from the newest generation that has it."""
+        parts = self._generations("history", manifest or self.manifest())
+        out, later = None, None
+        for rows in reversed(parts):
+            own = rows if later is None else rows.join(later, "key", "left_anti")
+            out = own if out is None else out.unionByName(own)
+            keys = rows.select("key").distinct()
+            later = keys if later is None else later.unionByName(keys)
+        return self.spark.createDataFrame([], HISTORY_SCHEMA) if out is None else out
 
     # ---- updates
 
+    def _write_base(self, log: DataFrame, n: int, name: str) -> int:
+        """Write a base of about ``n`` log rows: buckets of the key's hash, each in as many tasks as its size asks for."""
+        files = max(1, -(-n // FILE_ROWS))
+        buckets = self.buckets or min(MOST_BUCKETS, files)
+        slices = -(-files // buckets)
+        hashed = F.xxhash64("key")
+        placed = log.withColumn("bucket", F.pmod(hashed, F.lit(buckets)).cast("int")).withColumn("slice", F.pmod(F.shiftright(hashed, 32), F.lit(slices)).cast("int"))
+        placed.repartition(min(files, 10_000), "bucket", "slice").write.partitionBy("bucket").parquet(f"{self.path}/log-{name}")
+        # every key's rows are in one partition, so the window needs no shuffle of its own
+        again = self.spark.read.schema(f"{LOG_SCHEMA}, slice int, bucket int").parquet(f"{self.path}/log-{name}").repartition(min(files, 10_000), "bucket", "slice")
+        build_chains(again, ("bucket", "slice")).drop("slice").write.partitionBy("bucket").parquet(f"{self.path}/history-{name}")
+        return buckets
+
     def apply(self, snapshots: DataFrame) -> "HistoryStore":
         """Take a batch of observations, in any order and however late, and rebuild the chains it touches."""
-        gen = uuid.uuid4().hex
-        batch_path = f"{self.path}/batch-{gen}"
-        daily_changes(snapshots, self.buckets).write.parquet(batch_path)
-        batch = self.spark.read.schema(LOG_SCHEMA).parquet(batch_path)
-        touched = sorted(r[0] for r in batch.select("bucket").distinct().collect())  # at most self.buckets rows
-        if not touched:
-            return self
-        manifest = self.manifest()
+        name, manifest = uuid.uuid4().hex, self.manifest()
+        if not manifest["generations"]:
+            buckets = self._write_base(daily_changes(snapshots), snapshots.count(), name)
+            try:
+                self._publish({"version": 1, "buckets": buckets, "generations": [name]})
+                return self
+            except Conflict:
+                name = uuid.uuid4().hex
+        daily_changes(snapshots).write.parquet(f"{self.path}/log-{name}")
+        batch = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log-{name}")
         keys = batch.select("key").distinct()
-        fields = F.struct("version_year", "ingested_at", "snapshot_id", "effective_date", "status").alias("row")
-        if any(str(b) in manifest["log"] for b in touched):
-            old_log, old_history = self.log(touched), self.history(touched)
-            raw = _best(old_log.join(keys, "key", "left_semi").unionByName(batch).select("key", "day", fields))
-            raw = raw.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
-            new_log = old_log.join(keys, "key", "left_anti").unionByName(raw)
-            new_history = old_history.join(keys, "key", "left_anti").unionByName(build_chains(raw))
-        else:
-            new_log, new_history = batch, build_chains(batch)
-        for part, df in (("log", new_log), ("history", new_history)):
-            folder = f"{part}-{gen}"
-            # one file per bucket; a bucket has at most one row per key and day, so none grows with a hot key
-            df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
-            manifest[part] |= {str(b): folder for b in touched}
-        self._switch(manifest)
+        while True:
+            manifest = self.manifest()
+            # at most MOST_BUCKETS numbers
+            touched = sorted(r[0] for r in keys.select(F.pmod(F.xxhash64("key"), F.lit(manifest["buckets"])).cast("int")).distinct().collect())
+            if not touched:
+                return self
+            old = functools.reduce(DataFrame.unionByName, self._generations("log", manifest, touched))
+            raw = _best(old.join(keys, "key", "left_semi").unionByName(batch).select("key", "day", F.struct(*ORDER).alias("row")))
+            build_chains(raw).write.mode("overwrite").parquet(f"{self.path}/history-{name}")
+            try:
+                self._publish(manifest | {"version": manifest["version"] + 1, "generations": [*manifest["generations"], name]})
+                return self
+            except Conflict:
+                continue
+
+    def compact(self) -> "HistoryStore":
+        """Merge all generations into a new base, its buckets by its size. If a writer is first, nothing changes."""
+        manifest, name = self.manifest(), uuid.uuid4().hex
+        if len(manifest["generations"]) > 1:
+            n = sum(rows.count() for rows in self._generations("log", manifest))
+            buckets = self._write_base(self.log(manifest), n, name)
+            try:
+                self._publish({"version": manifest["version"] + 1, "buckets": buckets, "generations": [name]})
+            except Conflict:
+                for part in ("log", "history"):
+                    delete_path(self.spark, f"{self.path}/{part}-{name}")
+        return self
+
+    def vacuum(self) -> "HistoryStore":
+        """Delete what the current manifest doesn't name. Not to be run while others read older states or write."""
+        manifest = self.manifest()
+        keep = {f"{part}-{g}" for part in ("log", "history") for g in manifest["generations"]} | {f"manifest-{manifest['version']:010d}.json"}
+        for n in self._names():
+            if n not in keep and not n.startswith("."):
+                delete_path(self.spark, f"{self.path}/{n}")
         return self
 
 
@@ -179,7 +238,7 @@ def history_rows(store: HistoryStore) -> DataFrame:
     )
 
 
-def state_history(snapshots: DataFrame, path: str, late_days: int = 90, buckets: int = 16) -> HistoryStore:
+def state_history(snapshots: DataFrame, path: str, late_days: int = 90, buckets: int = 0) -> HistoryStore:
     """History of all observations: those that arrived up to ``late_days`` before the last arrival are the first
     load, the later ones (with all late rows and corrections of that time) come in as an update."""
     store = HistoryStore(snapshots.sparkSession, path, buckets)

@@ -60,15 +60,70 @@ def test_batches_in_any_order_give_the_same_history(spark):
     assert rows_of(state_history(spark.createDataFrame(rows, SCHEMA), scratch_path(spark, "h"), late_days=0, buckets=2)) == brute(rows)
 
 
-def test_only_touched_chains_and_buckets_change(spark):
-    rows = [(i, date(2024, 1, 1), datetime(2024, 1, 1), f"k{i}", "2020", 1, "e", "active", "", "") for i in range(60)]
-    store = HistoryStore(spark, scratch_path(spark, "h"), 16).apply(spark.createDataFrame(rows, SCHEMA))
+def one_per_key(n):
+    return [(i, date(2024, 1, 1), datetime(2024, 1, 1), f"k{i}", "2020", 1, "e", "active", "", "") for i in range(n)]
+
+
+def test_a_batch_writes_the_rows_of_its_keys_only(spark):
+    store = HistoryStore(spark, scratch_path(spark, "h"), 16).apply(spark.createDataFrame(one_per_key(900), SCHEMA))
     before = store.manifest()
-    store.apply(spark.createDataFrame([(99, date(2023, 12, 1), datetime(2024, 3, 1), "k7", "2020", 1, "e", "draft", "", "")], SCHEMA))
+    late = [(1000 + i, date(2023, 12, 1), datetime(2024, 3, 1), f"k{i * 7}", "2020", 1, "e", "draft", "", "") for i in range(34)]
+    store.apply(spark.createDataFrame(late, SCHEMA))
     after = store.manifest()
-    assert sum(before["history"][b] != after["history"][b] for b in after["history"]) == 1
+    assert after["generations"][:-1] == before["generations"] and after["version"] == before["version"] + 1
+    written = spark.read.parquet(f"{store.path}/history-{after['generations'][-1]}")
+    assert {r[0] for r in written.select("key").collect()} == {f"k{i * 7}" for i in range(34)} and written.count() == 68
+    assert spark.read.parquet(f"{store.path}/log-{after['generations'][-1]}").count() == 34
     assert {r[1:3] for r in rows_of(store) if r[0] == "k7"} == {("2023-12-01", "2024-01-01"), ("2024-01-01", "9999-12-31")}
-    assert len(rows_of(store)) == 61
+    assert len(rows_of(store)) == 934
+
+
+def test_two_writers_at_once_lose_nothing(spark):
+    rows = sample(240, 7)
+    parts = [spark.createDataFrame(x, SCHEMA) for x in (rows[:80], rows[80:160], rows[160:])]
+    for first in (True, False):
+        path = scratch_path(spark, "h")
+        store, other = HistoryStore(spark, path, 2), HistoryStore(spark, path, 2)
+        todo = [*parts]
+        if not first:
+            store.apply(todo.pop(0))
+        publish, done = store._publish, []
+
+        def late(manifest, publish=publish, done=done, other=other, todo=todo):
+            if not done:
+                done.append(True)
+                other.apply(todo[1])
+            publish(manifest)
+
+        store._publish = late
+        store.apply(todo[0])
+        for x in todo[2:]:
+            store.apply(x)
+        assert rows_of(store) == rows_of(other) == brute(rows)
+        assert len(store.manifest()["generations"]) == 3
+
+
+def test_compaction_and_vacuum(spark):
+    rows = sample(200, 8)
+    store = HistoryStore(spark, scratch_path(spark, "h"), 3)
+    for k in range(0, 200, 50):
+        store.apply(spark.createDataFrame(rows[k : k + 50], SCHEMA))
+    store.compact().vacuum()
+    assert len(store.manifest()["generations"]) == 1 and rows_of(store) == brute(rows)
+    assert len([n for n in store._names() if not n.startswith(".")]) == 3
+    late = [(999, date(2023, 1, 1), datetime(2024, 3, 1), "hot", "2020", 1, "e", "draft", "", "")]
+    assert rows_of(store.apply(spark.createDataFrame(late, SCHEMA))) == brute(rows + late)
+
+
+def test_buckets_and_tasks_follow_the_size(spark, monkeypatch):
+    from corpusloom.operators import history as module
+
+    monkeypatch.setattr(module, "FILE_ROWS", 40)
+    monkeypatch.setattr(module, "MOST_BUCKETS", 5)
+    store = HistoryStore(spark, scratch_path(spark, "h")).apply(spark.createDataFrame(one_per_key(400), SCHEMA))
+    assert store.manifest()["buckets"] == 5 and len(rows_of(store)) == 400
+    files = spark.read.parquet(f"{store.path}/log-{store.manifest()['generations'][0]}").inputFiles()
+    assert len(files) > 5
 
 
 def test_a_reader_sees_the_old_state_until_the_switch(spark):
@@ -81,4 +136,4 @@ def test_a_reader_sees_the_old_state_until_the_switch(spark):
 
 def test_empty_table(spark):
     assert rows_of(state_history(spark.createDataFrame([], SCHEMA), scratch_path(spark, "h"))) == set()
-    assert build_chains(daily_changes(spark.createDataFrame([], SCHEMA), 2)).count() == 0
+    assert build_chains(daily_changes(spark.createDataFrame([], SCHEMA))).count() == 0
