@@ -56,7 +56,7 @@ def nfkc(c: Column) -> Column:
 
 def strip_controls(c: Column) -> Column:
     """ETX becomes a space, other control characters but line ends and tabs go (FN-02)."""
-    return F.regexp_replace(F.translate(c, "\x03", " "), r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}&&[^\n\r\t]]", "")
+    return F.regexp_replace(F.translate(c, "\x03", " "), r"[\p{C}&&[^\n\r\t]]", "")
 
 
 def garbled_word(w: Column) -> Column:

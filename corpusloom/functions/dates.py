@@ -26,18 +26,27 @@ REVOKED = [
 
 
 def parse_date(c: Column) -> Column:
-    """ISO text of a date: ISO itself, spelled out in Portuguese, or day first (FN-31); null if it is none."""
+    """ISO text of a date: ISO itself, spelled out in Portuguese, or day first (FN-31); null if it is none.
+
+    A second number over 12 can be no month, so the month is first then. Years of two digits are those within 50 years of the
+    current one.
+    """
     part = lambda p, i: F.regexp_extract(c, p, i)
     spelled = rf"(?iu)(\d{{1,2}})[ºª°]?\s+de\s+({'|'.join(MONTHS)})\s+de\s+(\d{{4}})"
     month = F.try_element_at(F.create_map(*(F.lit(x) for p in MONTHS.items() for x in p)), F.lower(part(spelled, 2)))
     numeric = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})"
     year = part(numeric, 3)
-    full = F.when(F.length(year) == 2, F.concat(F.when(year < "69", "20").otherwise("19"), year)).otherwise(year)
+    now = F.year(F.current_date())
+    near = year.try_cast("int") + F.floor(now / 100) * 100
+    near = F.when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
+    full = F.when(F.length(year) == 2, near.cast("string")).otherwise(year)
+    second = part(numeric, 2).try_cast("int") > 12
+    day, number = (F.when(second, part(numeric, i)).otherwise(part(numeric, j)) for i, j in ((2, 1), (1, 2)))
     pad = lambda x: F.lpad(x.cast("string"), 2, "0")
     return F.coalesce(
         F.regexp_extract(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c), r"^(.*)$", 1),
         F.date_format(F.try_to_date(F.concat_ws("-", F.nullif(part(spelled, 3), F.lit("")), pad(month), pad(part(spelled, 1))), "yyyy-MM-dd"), "yyyy-MM-dd"),
-        F.date_format(F.try_to_date(F.concat_ws("-", full, pad(part(numeric, 2)), pad(part(numeric, 1))), "yyyy-MM-dd"), "yyyy-MM-dd"),
+        F.date_format(F.try_to_date(F.concat_ws("-", full, pad(number), pad(day)), "yyyy-MM-dd"), "yyyy-MM-dd"),
     )
 
 
@@ -53,8 +62,15 @@ def is_revoked(text: Column) -> Column:
 
 
 def expiry_date(text: Column) -> Column:
-    """A numeric date within 100 characters after the words of revocation (FN-30)."""
-    return F.coalesce(*(parse_date(F.nullif(F.regexp_extract(text, rf"{p}(?s).{{0,92}}?({NUMERIC})", 1), F.lit(""))) for p in REVOKED))
+    """A numeric date in the 100 characters after the first words of revocation (FN-30); dates further on or after later words
+    don't count."""
+
+    def after(p: str) -> Column:
+        # everything after the first occurrence
+        rest = F.regexp_extract(text, rf"(?iu){p.removeprefix('(?iu)')}(?s:(.*))$", 1)
+        return parse_date(F.nullif(F.regexp_extract(F.substring(rest, 1, 100), NUMERIC, 0), F.lit("")))
+
+    return F.coalesce(*(after(p) for p in REVOKED))
 
 
 def all_dates(text: Column) -> Column:

@@ -31,6 +31,13 @@ DOC_TYPES = {
     "ORIENTAÇÃO NORMATIVA": "Orientação normativa",
     "MANUAL ELETRÔNICO": "Manual Eletrônico",
 }
+#: Codes of the register's document types.
+TYPE_CODES = {
+    "AVISO": 20, "BCA": 17, "BMA": 24, "BOLETIM EXTERNO": 44, "COMUNICADO": 38, "CONSTITUIÇÃO FEDERAL": 39, "DCA": 3, "DECRETO": 18, "DECRETO - LEI": 25,
+    "FCA": 4, "ICA": 5, "IMA": 31, "INSTRUÇÃO NORMATIVA": 43, "LEI": 22, "LEI COMPLEMENTAR": 41, "MANUAL - OUTROS": 40, "MANUAL ELETRÔNICO": 21, "MCA": 6,
+    "MEDIDA PROVISÓRIA": 42, "NOPREP": 30, "NORMAS DO COMPREP": 29, "NOTA": 33, "NPA": 36, "NSCA": 1, "OCA": 7, "ORDEM TÉCNICA": 34, "ORIENTAÇÃO NORMATIVA": 35,
+    "PCA": 8, "PORTARIA": 19, "PORTARIA CONJUNTA": 37, "PTA": 28, "RCA": 16, "RESOLUÇÃO": 32, "RICA": 14, "RIMA": 45, "RMA": 26, "ROCA": 15, "TCA": 9,
+}
 
 
 def doc_type_name(c: Column) -> Column:
@@ -127,9 +134,17 @@ def urn_parts(urn: Column) -> dict[str, Column]:
 
 
 def title_parts(title: Column) -> tuple[Column, Column]:
-    """Type and number at the start of a title: ``TYPE [Nº] NUMBER`` (FN-22)."""
-    pattern = r"^\s*(\p{L}[\p{L} ]*?)\s+(?:[Nn][º°o.]+\s*)?([0-9][0-9A-Za-z./-]*)"
-    return doc_type_name(F.regexp_extract(title, pattern, 1)), F.nullif(F.regexp_extract(title, pattern, 2), F.lit(""))
+    """Type and number of a title (FN-22): ``TYPE [Nº] NUMBER`` at its start, else the longest known type it starts with and what
+    follows, else nulls."""
+    text = squeeze(title)
+    pattern = r"^([A-ZÇÃa-zçã][A-Za-zÇÃçã\s-]*?)\s+(?:Nº\s+)?([0-9][0-9./-]*[\p{L}\p{N}_/]*[0-9]+)"
+    kind, number = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    upper, known, rest = F.upper(text), None, None
+    for name in sorted(TYPE_CODES, key=len, reverse=True):
+        tail = F.regexp_replace(F.substr(text, F.lit(len(name) + 1)), r"^\s*/*\s*|\s+$", "")
+        known = F.when(upper.startswith(name), name) if known is None else known.when(upper.startswith(name), name)
+        rest = F.when(upper.startswith(name), tail) if rest is None else rest.when(upper.startswith(name), tail)
+    return F.when(kind != "", doc_type_name(kind)).otherwise(doc_type_name(known)), F.when(kind != "", number).otherwise(F.nullif(rest, F.lit("")))
 
 
 def first_filled(*columns: Column) -> Column:

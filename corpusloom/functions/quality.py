@@ -31,7 +31,7 @@ def quality_metrics(df: DataFrame, content: str = "content") -> DataFrame:
             "empty_lines": size(lambda x: bare(x) == ""),
             "alpha_count": F.regexp_count(text, F.lit(r"\p{L}")).cast("bigint"),
             "digit_count": F.regexp_count(text, F.lit(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]")).cast("bigint"),
-            "control_count": F.regexp_count(text, F.lit(r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}&&[^\n\r\t]]")).cast("bigint"),
+            "control_count": F.regexp_count(text, F.lit(r"[\p{C}&&[^\n\r\t]]")).cast("bigint"),
             "header_repetitions": F.regexp_count(text, F.lit(INSTITUTION)).cast("bigint"),
             "page_number_count": F.regexp_count(text, F.lit(PAGE_NUMBER)).cast("bigint"),
             "noise_lines": size(lambda x: (bare(x) != "") & ~x.rlike(r"\p{L}")),
@@ -61,7 +61,33 @@ def quality_level() -> Column:
     )
 
 
-def accepted(df: DataFrame, content: str = "content") -> DataFrame:
-    """Rows that pass the quality gate (FLT-09)."""
+def reject_reason() -> Column:
+    """Why a row that has the metrics is rejected, null if it isn't (FN-17)."""
+    percent = lambda c: F.concat(F.format_string("%.1f", F.col(c) * 100), F.lit("%"))
+    return (
+        F.when(F.col("total_chars") == 0, "Empty content")
+        .when(F.col("total_chars") < MIN_CHARS, F.concat(F.lit("Content too short ("), F.col("total_chars").cast("string"), F.lit(" chars)")))
+        .when(F.col("control_ratio") > MAX_CONTROL, F.concat(F.lit("Excessive control characters ("), percent("control_ratio"), F.lit(")")))
+        .when(F.col("alpha_ratio") < GARBAGE_ALPHA, F.concat(F.lit("Alpha ratio too low ("), percent("alpha_ratio"), F.lit(")")))
+        .when(F.col("alpha_ratio") < LOW_ALPHA, F.concat(F.lit("Low text quality ("), percent("alpha_ratio"), F.lit(")")))
+    )
+
+
+def accepted(df: DataFrame, content: str = "content", cleaned: str | None = None, least: int = 50) -> DataFrame:
+    """Rows whose raw text passes the quality gate and, if ``cleaned`` names it, whose cleaned text has ``least`` characters (FLT-09)."""
     columns = df.columns
-    return quality_metrics(df, content).filter(quality_level().isin("medium", "good")).select(*columns)
+    out = quality_metrics(df, content).filter(quality_level().isin("medium", "good")).select(*columns)
+    return out if cleaned is None else out.filter(F.length(cleaned) >= least)
+
+
+def warnings() -> Column:
+    """What a row that has the metrics should be looked at for (FN-17)."""
+    count = lambda c, text: F.concat(F.col(c).cast("string"), F.lit(text))
+    return F.array_compact(
+        F.array(
+            F.when(F.col("header_repetitions") > 3, count("header_repetitions", " repeated institutional headers")),
+            F.when(F.col("page_number_count") > 5, count("page_number_count", " embedded page numbers")),
+            F.when(F.col("noise_line_ratio") > 0.3, F.concat(F.format_string("%.0f", F.col("noise_line_ratio") * 100), F.lit("% of lines have no alphabetic content"))),
+            F.when(F.col("toc_lines") > 10, count("toc_lines", " table-of-contents lines")),
+        )
+    )

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.store import with_lookup
 from corpusloom.runtime import all_of
 
 #: Queries scored at once, which bounds the broadcast.
@@ -254,7 +255,7 @@ def widened(hits: DataFrame, limit: int, sorts: list[tuple[str, str]], n_queries
 def enrich(hits: DataFrame, documents: DataFrame, fields: list[str]) -> DataFrame:
     """Missing fields from the document's row, if that has a URL (SCH-11, JON-07, T-37)."""
     rows = documents.filter(F.length("url") > 0).groupBy("doc_id").agg(F.min(F.struct(*fields)).alias("_d"))
-    joined = hits.join(rows, "doc_id", "left")
+    joined = with_lookup(hits, rows, "doc_id")
     return joined.withColumns({f: F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(f"_d.{f}")) for f in fields}).drop("_d")
 
 
@@ -277,9 +278,3 @@ def best_query(scored: DataFrame) -> DataFrame:
 def context(hits: DataFrame, k: int = 7, chars: int = 2000) -> DataFrame:
     """The k most relevant hits with their text cut (SCH-15)."""
     return hits.orderBy(F.desc("relevance"), "id").limit(k).withColumn("text", F.substring("text", 1, chars))
-
-
-def context_text(hits: DataFrame, chars: int = 2000) -> Column:
-    """One block per hit: header lines that are filled, then the text (PRJ-11)."""
-    lines = [F.concat(F.lit("["), F.concat_ws(" ", F.upper("doc_type"), "number"), F.lit("]")), F.concat(F.lit("Título: "), F.nullif("title", F.lit(""))), F.concat(F.lit("Órgão: "), F.nullif("authority", F.lit("")))]
-    return F.concat_ws("\n", *lines, F.substring("text", 1, chars))

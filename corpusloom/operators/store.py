@@ -6,11 +6,11 @@ Rows with a null key don't match anything: in the old table they stay, incoming
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.ids import content_hash
-from corpusloom.runtime import all_of, scratch_path
+from corpusloom.functions.ids import content_hash, uuid_of
+from corpusloom.runtime import all_of, materialize, scratch_path, skew_safe_join
 
 
 def latest_incoming(incoming: DataFrame, key: str, order: str) -> DataFrame:
@@ -64,7 +64,7 @@ def cascade_delete(documents: DataFrame, log: DataFrame, relations: DataFrame, s
     gone = documents.filter(F.col("source") == source).select("doc_id").distinct()
     edges = relations.join(gone.withColumnRenamed("doc_id", "source_doc_id"), "source_doc_id", "left_anti")
     hit = gone.select(F.col("doc_id").alias("target_doc_id"), F.lit(True).alias("_gone"))
-    cut = edges.join(hit, "target_doc_id", "left")
+    cut = with_lookup(edges, hit, "target_doc_id")
     target = F.when(F.col("_gone").isNull(), F.col("target_doc_id"))
     return (
         documents.filter(~F.col("source").eqNullSafe(F.lit(source))),
@@ -73,11 +73,61 @@ def cascade_delete(documents: DataFrame, log: DataFrame, relations: DataFrame, s
     )
 
 
+def with_lookup(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``lookup`` (unique on ``key``), nulls where it has none; hot keys don't clog the join."""
+    known = rows.filter(F.col(key).isNotNull())
+    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    extra = [c for c in lookup.columns if c != key]
+    types = dict(lookup.dtypes)
+    # keys without an entry get one of nulls, so that the inner join keeps their rows
+    whole = counts.select(key).join(lookup, key, "left")
+    joined = skew_safe_join(known, whole, counts, [key])
+    return joined.unionByName(rows.filter(F.col(key).isNull()).withColumns({c: F.lit(None).cast(types[c]) for c in extra})).select(*rows.columns, *extra)
+
+
+def delete_keys(df: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` without the rows of some keys (SNK-05); no keys, no change."""
+    return df.join(keys.select(key).distinct(), key, "left_anti").select(*df.columns)
+
+
+def rewritten(old: DataFrame, incoming: DataFrame, excluded: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The old rows but for those of excluded keys, then the incoming ones (SNK-08)."""
+    return delete_keys(old, excluded, key).unionByName(incoming, allowMissingColumns=True)
+
+
+def upsert_points(old: DataFrame, points: DataFrame, key: str = "id") -> DataFrame:
+    """Points replace those of their id; of several with one id the last by all their columns counts, those without an id get the
+    UUID of their content (SNK-09)."""
+    named = points.withColumn(key, F.coalesce(F.col(key).cast("string"), uuid_of(F.to_json(F.struct(*points.columns)))))
+    others = [c for c in points.columns if c != key]
+    one = named.groupBy(key).agg(F.max(F.struct(*others)).alias("_b")).select(key, "_b.*")
+    return old.join(one.select(key), key, "left_anti").unionByName(one)
+
+
+def append_events(log: DataFrame, events: DataFrame, valid: Column, order: list[str]) -> DataFrame:
+    """The log with the valid events numbered on from its last id in a given order (SNK-11).
+
+    Numbers come from counts of sorted partitions, so no task holds all events."""
+    return log.unionByName(numbered(events.filter(valid), order, "event_id", log.agg(F.coalesce(F.max("event_id"), F.lit(-1)).alias("_last"))).select(*log.columns))
+
+
+def numbered(df: DataFrame, order: list[str], name: str, last: DataFrame) -> DataFrame:
+    """``df`` with consecutive numbers after the one row of ``last``: range-partitioned and written, then numbered by partition."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    placed = materialize(ranged, "numbered")
+    # one row a partition
+    starts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_p", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    joined = placed.join(F.broadcast(starts), "_p").join(F.broadcast(last))
+    return joined.withColumn(name, F.col("_last") + 1 + F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_before", "_last")
+
+
 def resolve_relations(relations: DataFrame, documents: DataFrame) -> DataFrame:
     """Edges without a target get the least document that has their reference (JON-04, T-16)."""
     number = F.nullif(F.regexp_replace("source_ref", r"^.*:", ""), F.lit(""))
     lookup = documents.select(number.alias("target_ref"), "doc_id").filter("target_ref is not null").groupBy("target_ref").agg(F.min("doc_id").alias("_found"))
-    return relations.join(lookup, "target_ref", "left").withColumn("target_doc_id", F.coalesce(F.nullif("target_doc_id", F.lit("")), "_found")).select(*relations.columns)
+    return with_lookup(relations, lookup, "target_ref").withColumn("target_doc_id", F.coalesce(F.nullif("target_doc_id", F.lit("")), "_found")).select(*relations.columns)
 
 
 def latest_versions(documents: DataFrame) -> DataFrame:

@@ -95,4 +95,7 @@ def test_after_a_search(spark):
     rows = spark.createDataFrame([("a", None, ""), ("b", None, ""), ("c", "k", "t")], "doc_id string, url string, title string")
     assert {tuple(r) for r in search.enrich(rows, docs, ["url", "title"]).collect()} == {("a", "u", "T"), ("b", None, None), ("c", "k", "t")}
     c = spark.createDataFrame([("ica", "1", "Um", None, "corpo")], "doc_type string, number string, title string, authority string, text string")
-    assert c.select(search.context_text(c).alias("t")).first().t == "[ICA 1]\nTítulo: Um\ncorpo"
+    from corpusloom.functions.projections import contexts
+
+    c = c.selectExpr("1 AS query_id", "*").withColumn("rank", F.lit(1))
+    assert contexts(c).first().context == "[ica 1]\nTítulo: Um\ncorpo"
