@@ -40,6 +40,8 @@ REPEATED_HEADERS = [
     r"(?imud)^\s*RBAC\s+n[°º]?\s*\d+\s+EMD\s+\d+\s*$",
 ]
 TOC_LINES, SEPARATORS = r"(?md)^.*\.{5,}\s*\d+\s*$", r"(?md)^\s*[_\-=]{5,}\s*$"
+#: For each of ``PORTAL_LINES`` that knows one case only a word that a text with a match has.
+PORTAL_WORDS = [None, None, "Terminal", "Terminal", "Deseja", "Desenvolvido", "Favoritar", "Inclus", "Controle", "Você", "detalheLegislacaoCtrl", "Sim", "Fechar"]
 VOWELS = "aeiouáéíóúàâêôãõ"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,6 +116,11 @@ def drop_repeated(c: Column, pattern: str) -> Column:
     return F.when(F.regexp_count(c, F.lit(pattern)) > 1, F.regexp_replace(c, pattern, "")).otherwise(c)
 
 
+def guarded(word: str | None, step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A step for texts that have a word; a search for it is far cheaper than for the pattern."""
+    return step if word is None else lambda c: F.when(c.contains(word), step(c)).otherwise(c)
+
+
 def _dropping(pattern: str) -> Callable[[Column], Column]:
     return lambda c: F.regexp_replace(c, pattern, "")
 
@@ -130,11 +137,12 @@ def clean(df: DataFrame, content: str = "content", out: str = "clean") -> DataFr
     work = df.withColumn("_t", nfkc(F.col(content)))
     steps = [
         strip_controls,
-        *map(_dropping, PORTAL_LINES),
+        *(guarded(w, _dropping(p)) for w, p in zip(PORTAL_WORDS, PORTAL_LINES)),
         drop_garbled_lines,
         *map(_dropping_repeated, REPEATED_HEADERS),
         drop_page_numbers,
-        lambda c: F.regexp_replace(F.regexp_replace(c, TOC_LINES, ""), SEPARATORS, ""),
+        lambda c: F.when(c.contains("....."), F.regexp_replace(c, TOC_LINES, "")).otherwise(c),
+        _dropping(SEPARATORS),
         straight_quotes,
         join_hyphens,
         squeeze_layout,

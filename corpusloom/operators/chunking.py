@@ -149,25 +149,21 @@ def word_windows(df: DataFrame, key: str, text: str, size: int = MAX_WORDS, over
     # a window starts wherever a full one before it leaves words or overlap
     count = F.when(n < size, 1).otherwise(F.floor((n - size) / step) + 1 + F.when((F.floor((n - size) / step) + 1) * step < n, 1).otherwise(0))
     rows = df.select(F.col(key), words.alias("_w")).filter(F.size("_w") > 0)
-    at = rows.select(key, "_w", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("chunk_index"))
-    piece = F.slice("_w", F.col("chunk_index") * step + 1, size)
-    return at.select(key, "chunk_index", F.size(piece).alias("n_words"), F.array_join(piece, " ").alias("chunk"))
+    # the windows are cut out before they become rows, so no row carries the whole text
+    piece = lambda i: F.slice("_w", i * step + 1, size)
+    cut = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.struct(i.alias("chunk_index"), F.size(piece(i)).alias("n_words"), F.array_join(piece(i), " ").alias("chunk")))
+    return rows.select(key, F.explode(cut).alias("_p")).select(key, "_p.*")
 
 
 def numbered_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """Sections under numbered headings (CHK-08): ``(key, section, number, body)``; what precedes the first is left out.
 
-    Runs within the row: a text's lines are folded into sections, without a shuffle.
+    Runs within the row and in time linear in the text: it is cut before each heading.
     """
-    heading = r"^\s*(\d+(?:\.\d+)*)\.?\s+[A-ZÁÉÍÓÚÀÂÊÔÃÕÇ].*"
-    lines = F.split(F.col(text), "\n")
-    empty = F.array().cast("array<struct<number:string,body:string>>")
-
-    def fold(acc: Column, line: Column) -> Column:
-        number = F.regexp_extract(line, heading, 1)
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["number"].alias("number"), F.concat_ws("\n", last["body"], line).alias("body"))))
-        return F.when(number != "", F.concat(acc, F.array(F.struct(number.alias("number"), line.alias("body"))))).when(F.size(acc) > 0, grown).otherwise(acc)
-
-    folded = F.aggregate(lines, empty, fold)
-    return df.select(key, F.posexplode(folded).alias("section", "s")).select(key, "section", "s.number", "s.body")
+    heading = r"[^\S\n]*(\d+(?:\.\d+)*)\.?[^\S\n]+[A-ZÁÉÍÓÚÀÂÊÔÃÕÇ]"
+    pieces = F.split(F.col(text), rf"(?md)(?=^{heading})")
+    last = F.size(pieces) - 1
+    # the line end before a heading belongs to neither section
+    whole = F.transform(pieces, lambda x, i: F.struct(F.regexp_extract(x, f"^{heading}", 1).alias("number"), F.when(i < last, F.regexp_replace(x, r"\n\z", "")).otherwise(x).alias("body")))
+    found = F.filter(whole, lambda x: x["number"] != "")
+    return df.select(key, F.posexplode(found).alias("section", "s")).select(key, "section", "s.number", "s.body")
