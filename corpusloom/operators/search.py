@@ -1,23 +1,25 @@
 """Filtered top-k search over chunks: dense, sparse and fused (SCH-01..15, FLT-01..08, JON-07, AGG-26, AGG-27).
 
-A search runs all its queries in one job. Queries are the small side and are compared with the chunks in blocks: each
-partition scores its chunks against a block of queries and keeps the k best of each query, so only k rows per query and
-batch are shuffled. Ties are ordered by id. Chunks with a null vector or text, and queries with none, match nothing.
+Queries are compared with the chunks in blocks of bounded size: each partition scores its chunks against a block of queries and
+keeps the k best of each query, so only k rows per query and batch are shuffled. The queries are packed into blocks by the
+executors; the driver holds one block at a time, and with several blocks the result of each is written before the next
+is read. Ties are ordered by id. Chunks with a null vector or text, and queries with none, match nothing.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.store import with_lookup
-from corpusloom.runtime import all_of
+from corpusloom.runtime import all_of, materialize, scratch_path
 
 #: Queries scored at once, which bounds the broadcast.
 QUERY_BLOCK = 4096
@@ -86,9 +88,35 @@ def _top_k(scored: DataFrame, k: int, order: list[Column] | None = None) -> Data
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _blocks(rows: list, size: int = QUERY_BLOCK) -> Iterator[list]:
-    for i in range(0, len(rows), size):
-        yield rows[i : i + size]
+def _packed(queries: DataFrame, what: str) -> DataFrame:
+    """One row ``(names, items)`` per block of at most ``QUERY_BLOCK`` queries, packed where they are."""
+    rows = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.expr(what).alias("item")).dropna().groupBy("query_id").agg(F.max("item").alias("item"))
+    kind = rows.schema["item"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, QUERY_BLOCK):
+                names, items = (c.slice(i, QUERY_BLOCK) for c in b.columns)
+                at = pa.array([0, len(names)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, names), pa.ListArray.from_arrays(at, items)], names=["names", "items"])
+
+    return materialize(rows.mapInArrow(run, f"names array<bigint>, items array<{kind}>").withColumn("block", F.monotonically_increasing_id()), "queries")
+
+
+def _by_block(queries: DataFrame, what: str, score: Callable[[object], DataFrame], k: int) -> DataFrame:
+    """The k best of each query over its block's ``score``; that gets one block's row."""
+    packed = _packed(queries, what)
+    spark = queries.sparkSession
+    # one number a block
+    numbers = sorted(r[0] for r in packed.select("block").collect())
+    if not numbers:
+        return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    if len(numbers) == 1:
+        return _top_k(score(packed.first()), k)
+    path = scratch_path(spark, "blocks")
+    for n in numbers:
+        _top_k(score(packed.filter(F.col("block") == n).first()), k).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _best_of_batch(scores: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,88 +138,138 @@ def dense_top_k(chunks: DataFrame, queries: DataFrame, k: int, threshold: float
     ``chunks`` has ``id`` and a vector, ``queries`` has ``query_id`` and one. Scores are computed in double precision and
     rounded to ``digits``, so ties are the same on every engine. A threshold applies before the choice of the k best.
     """
-    spark = chunks.sparkSession
-    rows = [(r[0], np.array(r[1], np.float64)) for r in queries.select("query_id", vector).dropna().dropDuplicates(["query_id"]).orderBy("query_id").toLocalIterator()]
-    out = None
-    for block in _blocks(rows):
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), np.stack([v for _, v in block])))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def score(block) -> DataFrame:
+        shared = chunks.sparkSession.sparkContext.broadcast((np.array(block["names"], np.int64), np.array(block["items"], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
             for b in batches:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                lists = b.column(1)
                 if not len(ids):
                     continue
-                values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                values = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
                 # in slices, so that the score matrix stays small
                 for i in range(0, len(ids), 2048):
                     scores = np.round(values[i : i + 2048] @ matrix.T, digits)
-                    q, x, s = _best_of_batch(scores, ids[i : i + 2048], names, k, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(x), pa.array(s)], names=["query_id", "id", "score"])
+                    yield _hits(*_best_of_batch(scores, ids[i : i + 2048], names, k, threshold))
+
+        return chunks.select(F.col("id").cast("bigint").alias("id"), vector).filter(F.col(vector).isNotNull()).mapInArrow(run, "query_id bigint, id bigint, score double")
+
+    return _by_block(queries, vector, score, k)
+
+
+def _hits(q: np.ndarray, x: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+
+def _scored_terms(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, names: np.ndarray, lists: dict, ids: np.ndarray, k: int, digits: int) -> pa.RecordBatch:
+    """The k best of each query over a batch of postings ``(row, term, weight)``, term by term."""
+    scores = np.zeros((n, names.size))
+    order = np.argsort(terms, kind="stable")
+    rows, terms, weights = rows[order], terms[order], weights[order]
+    starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if terms.size else np.zeros(0, np.int64)
+    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), terms.size]):
+        q, w = lists[terms[a]]
+        # a row has a term once
+        scores[np.ix_(rows[a:z], q)] += np.outer(weights[a:z], w)
+    return _hits(*_best_of_batch(np.round(scores, digits), ids, names, k, 10**-digits))
+
+
+def tokens(text: Column) -> Column:
+    """The words of a text in lower case: runs of letters, digits and underscores."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def term_weights(words: list[str]) -> dict[str, float]:
+    """Saturated term frequencies of a text's words (SCH-04)."""
+    counts = Counter(words)
+    return {t: float(saturated(n, len(words))) for t, n in counts.items()}
+
+
+def saturated(n, length):
+    return n * (K1 + 1) / (n + K1 * (1 - B + B * length / AVERAGE_LENGTH))
 
-        part = chunks.select(F.col("id").cast("bigint").alias("id"), vector).filter(F.col(vector).isNotNull()).mapInArrow(run, "query_id bigint, id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id bigint, id bigint, score double")
-    return _top_k(out, k)
 
+def _postings(items: list[dict[object, float]]) -> dict[object, tuple[np.ndarray, np.ndarray]]:
+    found: dict = defaultdict(lambda: ([], []))
+    for i, weights in enumerate(items):
+        for t, w in weights.items():
+            q, own = found[t]
+            q.append(i)
+            own.append(w)
+    return {t: (np.array(q), np.array(w, np.float64)) for t, (q, w) in found.items()}
 
-def term_weights(tokens: list[str]) -> dict[str, float]:
-    """Saturated term frequencies of a text (SCH-04)."""
-    counts: dict[str, int] = defaultdict(int)
-    for t in tokens:
-        counts[t] += 1
-    norm = K1 * (1 - B + B * len(tokens) / AVERAGE_LENGTH)
-    return {t: n * (K1 + 1) / (n + norm) for t, n in counts.items()}
+
+def _weighted_top_k(chunks: DataFrame, queries: DataFrame, k: int, what: str, weigh: Callable[[list], dict], batch_weights: Callable, digits: int) -> DataFrame:
+    """Top k by the product of weights of common terms. ``what`` gives a row's terms on either side, ``weigh`` the weights of a
+    query's; ``batch_weights`` makes ``(rows, terms, weights)`` of a batch's, terms by their place in a list."""
+
+    def score(block) -> DataFrame:
+        shared = chunks.sparkSession.sparkContext.broadcast((np.array(block["names"], np.int64), _postings([weigh(x) for x in block["items"]])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, lists = shared.value
+            number, by_number = {t: i for i, t in enumerate(lists)}, list(lists.values())
+            for b in batches:
+                for i in range(0, b.num_rows, 1024):
+                    part = b.slice(i, 1024)
+                    rows, terms, weights = batch_weights(part.column(1), number)
+                    yield _scored_terms(rows, terms, weights, part.num_rows, names, by_number, part.column(0).to_numpy(zero_copy_only=False), k, digits)
+
+        rows = chunks.select(F.col("id").cast("bigint").alias("id"), F.expr(what).alias("item"))
+        return rows.filter("item IS NOT NULL").mapInArrow(run, "query_id bigint, id bigint, score double")
+
+    return _by_block(queries, what, score, k)
+
+
+def _summed(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known terms only, each once per row with the sum of its weights."""
+    known = terms >= 0
+    keys, place = np.unique(rows[known] * size + terms[known], return_inverse=True)
+    return keys // size, keys % size, np.bincount(place, weights=weights[known], minlength=keys.size)
+
+
+def _word_batch(lists: pa.ListArray, number: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths, words = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
+    codes = np.array([number.get(t, -1) for t in words.dictionary.to_pylist()], np.int64)
+    terms = codes[words.indices.to_numpy(zero_copy_only=False)] if codes.size else np.zeros(0, np.int64)
+    rows, terms, n = _summed(np.repeat(np.arange(len(lists)), lengths), terms, np.ones(terms.size), max(1, len(number)))
+    return rows, terms, saturated(n, lengths[rows])
+
+
+def _vector_batch(lists: pa.ListArray, number: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths, flat = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
+    ids, places = np.unique(flat.field("term").to_numpy(zero_copy_only=False), return_inverse=True)
+    codes = np.array([number.get(t, -1) for t in ids.tolist()], np.int64)
+    terms = codes[places] if codes.size else np.zeros(0, np.int64)
+    return _summed(np.repeat(np.arange(len(lists)), lengths), terms, flat.field("weight").to_numpy(zero_copy_only=False), max(1, len(number)))
 
 
 def sparse_top_k(chunks: DataFrame, queries: DataFrame, k: int, text: str = "text", digits: int = 6) -> DataFrame:
     """``(query_id, id, score, rank)``: the k texts of highest product of term weights with each query (SCH-03, SCH-04).
 
-    Terms are lower-cased words between white space. Queries are encoded like texts. Texts without a common term don't match.
+    Terms are runs of letters, digits and underscores in lower case. Queries are encoded like texts. Texts without a common term
+    don't match.
     """
-    spark = chunks.sparkSession
-    rows = [(r[0], term_weights(r[1].lower().split())) for r in queries.select("query_id", text).dropna().dropDuplicates(["query_id"]).orderBy("query_id").toLocalIterator()]
-    out = None
-    for block in _blocks(rows):
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for i, (_, weights) in enumerate(block):
-            for t, w in weights.items():
-                postings[t].append((i, w))
-        packed = {t: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for t, p in postings.items()}
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), packed))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, lists = shared.value
-            for b in batches:
-                ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-                for i in range(0, len(ids), 1024):
-                    scores = np.zeros((min(1024, len(ids) - i), len(names)))
-                    for r, t in enumerate(texts[i : i + 1024]):
-                        for term, w in term_weights(t.lower().split()).items():
-                            if (p := lists.get(term)) is not None:
-                                scores[r, p[0]] += w * p[1]
-                    q, x, s = _best_of_batch(np.round(scores, digits), ids[i : i + 1024], names, k, 10**-digits)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(x), pa.array(s)], names=["query_id", "id", "score"])
-
-        part = chunks.select(F.col("id").cast("bigint").alias("id"), text).filter(F.col(text).isNotNull()).mapInArrow(run, "query_id bigint, id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id bigint, id bigint, score double")
-    return _top_k(out, k)
+    split = lambda df, key: df.select(key, tokens(F.col(text)).alias("_words"))
+    return _weighted_top_k(split(chunks, "id"), split(queries, "query_id"), k, "_words", term_weights, _word_batch, digits)
 
 
 def sparse_vector_top_k(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """Top k by the product of stored sparse vectors (``indices``, ``values``), by a join on the index (SCH-03).
+    """Top k by the product of stored sparse vectors (``indices``, ``values``), by the postings of a block of queries (SCH-03).
 
-    The queries' postings are the bounded side; partial sums meet on the map side.
+    An index that a vector has twice counts with the sum of its values.
     """
-    def postings(df: DataFrame, key: str, w: str) -> DataFrame:
-        return df.select(key, F.explode(F.arrays_zip("indices", "values")).alias("p")).select(key, F.col("p.indices").alias("term"), F.col("p.values").cast("double").alias(w))
 
-    hits = postings(chunks, "id", "dw").join(postings(queries, "query_id", "qw"), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("dw") * F.col("qw")), digits).alias("score"))
-    return _top_k(hits, k)
+    def weigh(items: list) -> dict:
+        out: dict = defaultdict(float)
+        for p in items:
+            out[p["term"]] += p["weight"]
+        return out
+
+    what = "transform(arrays_zip(indices, values), p -> named_struct('term', p.indices, 'weight', CAST(p.values AS DOUBLE)))"
+    return _weighted_top_k(chunks, queries, k, what, weigh, _vector_batch, digits)
 
 
 def fuse(branches: list[DataFrame], k: int, constant: int = 2, digits: int = 6) -> DataFrame:

@@ -168,7 +168,32 @@ _METRICS = rf"""SELECT doc_id, length(t) AS total_chars, len(regexp_extract_all(
     FROM (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents)"""
 _FIRST = """(SELECT * FROM store_documents QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at) = 1)"""
 
+
+
+def _parsed(x: str) -> str:
+    """SQL of a date's ISO text: ISO, spelled out in Portuguese, or day first unless the second number can be no month."""
+    spelled, numeric = rf"(?i)(\d{{1,2}})[ºª°]?\s+de\s+({'|'.join(dates.MONTHS)})\s+de\s+(\d{{4}})", r"(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})"
+    part = lambda p, k: f"regexp_extract({x}, '{p}', {k})"
+    month = "CASE lower(" + part(spelled, 2) + ") " + " ".join(f"WHEN '{m}' THEN '{n:02d}'" for m, n in dates.MONTHS.items()) + " END"
+    century = f"(year(current_date) // 100 * 100 + TRY_CAST({part(numeric, 3)} AS INT))"
+    near = f"CASE WHEN {century} >= year(current_date) + 50 THEN {century} - 100 WHEN {century} < year(current_date) - 50 THEN {century} + 100 ELSE {century} END"
+    year = f"CASE WHEN length({part(numeric, 3)}) = 2 THEN CAST({near} AS VARCHAR) ELSE {part(numeric, 3)} END"
+    swapped = f"TRY_CAST({part(numeric, 2)} AS INT) > 12"
+    pick = lambda a, b: f"lpad(CASE WHEN {swapped} THEN {part(numeric, a)} ELSE {part(numeric, b)} END, 2, '0')"
+    iso = lambda y, m, d: f"strftime(TRY_CAST({y} || '-' || {m} || '-' || {d} AS DATE), '%Y-%m-%d')"
+    day = f"lpad({part(spelled, 1)}, 2, '0')"
+    return f"coalesce(CASE WHEN regexp_full_match({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN {x} END, {iso(part(spelled, 3), month, day)}, {iso(year, pick(1, 2), pick(2, 1))})"
+
+
+_BARE = lambda p: p.replace("(?iu)", "")
 SQL = {
+    "numeric_dates": rf"""WITH d AS (SELECT doc_id, [{_parsed('x')} for x in regexp_extract_all(content, '{dates.NUMERIC}')] AS p FROM store_documents), k AS (SELECT doc_id, [x for x in p if x IS NOT NULL] AS dates FROM d)
+        SELECT DISTINCT doc_id, array_to_string(dates, ',') AS dates FROM k WHERE len(dates) > 0""",
+    "validity_dates": rf"""WITH d AS (SELECT DISTINCT doc_id, content, effective_date FROM store_documents),
+        m AS (SELECT *, {', '.join(f"nullif(regexp_extract(content, '(?i){_BARE(p)}', 1), '') AS e{i}" for i, p in enumerate(dates.EFFECTIVE))},
+            {', '.join(f"nullif(regexp_extract(substr(regexp_extract(content, '(?i){_BARE(p)}((?s:.*))$', 1), 1, 100), '{dates.NUMERIC}'), '') AS x{i}" for i, p in enumerate(dates.REVOKED))} FROM d)
+        SELECT doc_id, coalesce({', '.join(_parsed(f'e{i}') for i in range(len(dates.EFFECTIVE)))}, CASE WHEN regexp_matches(content, '(?i){_BARE(dates.ON_PUBLICATION)}') THEN effective_date END) AS effective,
+            coalesce({', '.join(_parsed(f'x{i}') for i in range(len(dates.REVOKED)))}) AS expiry, coalesce({' OR '.join(f"regexp_matches(content, '(?i){_BARE(p)}')" for p in dates.REVOKED)}, false) AS revoked FROM m""",
     "content_hash": f"SELECT doc_id, sha256({_SQUEEZE('lower(text)')}) AS content_hash FROM documents",
     "canonical_id": """WITH d AS (SELECT DISTINCT doc_id, doc_type, number, replace(upper(doc_type), ' ', '') AS prefix FROM store_documents),
         p AS (SELECT doc_id, regexp_replace(lower(doc_type), '[^a-z0-9]', '', 'g') AS kind, trim(regexp_replace(lower(CASE WHEN starts_with(replace(upper(number), ' ', ''), prefix) AND length(number) > length(prefix)

@@ -284,8 +284,20 @@ _FB = """WITH f AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, CAS
 _TURNS = """WITH t AS (SELECT user_id AS session_id, event_id AS turn, CASE WHEN event_type IN ('view', 'click') THEN 'user' ELSE 'assistant' END AS role, event_type || ' ' || chr(10) || ' ' || event_id AS content FROM events)"""
 _STAR = lambda c: f"arg_max(CASE WHEN star_category = '{c}' THEN coalesce(star_value, -1) END, CASE WHEN star_category = '{c}' THEN event_id END)"
 
+_TERMS = r"SELECT {0} AS id, t.term, count(*) AS n, max(t.len) AS len FROM (SELECT {0}, unnest(w) AS term, len(w) AS len FROM (SELECT {0}, regexp_extract_all(lower({1}), '[\pL\pN_]+') AS w FROM {2})) t GROUP BY ALL"
+_WEIGHT = "{0}.n * 2.2 / ({0}.n + 1.2 * (0.25 + 0.75 * {0}.len / 256))"
+_ANY = lambda phrases: "(" + " OR ".join(f"contains(lower(title), '{p}')" for p in phrases) + ")"
+
 SQL = {
     "dense_topk": f"{_dense()} SELECT * FROM hits",
+    "sparse_topk": f"""WITH d AS ({_TERMS.format('doc_id', 'text', 'documents')}), q AS ({_TERMS.format('item_id', 'passage', 'eval_items')}),
+        s AS (SELECT q.id AS query_id, d.id, round(sum({_WEIGHT.format('d')} * {_WEIGHT.format('q')}), 6) AS score FROM q JOIN d USING (term) GROUP BY ALL)
+        SELECT query_id, id, score, {_RANK} AS rank FROM s QUALIFY rank <= 5""",
+    "response_heuristics": f"""WITH r AS (SELECT title, upper(doc_type) || ' ' || number AS source, regexp_extract_all(title, '{evaluation.CITATION}', 1) AS strict, regexp_extract_all(title, '{evaluation.LOOSE_CITATION}', 1) AS loose FROM store_documents),
+        c AS (SELECT title, concat_ws(' ', source) AS s, CASE WHEN len(strict) > 0 THEN strict ELSE loose END AS c FROM r),
+        g AS (SELECT title, coalesce(len(c), 0) AS n, coalesce(len([x for x in c if x = s OR starts_with(s, x || '-art') OR starts_with(x, s || '-art')]), 0) AS k FROM c)
+        SELECT count(*) AS n_responses, round(avg(CAST(coalesce(trim(coalesce(title, '')) = '' OR {_ANY(evaluation.EMPTY_PHRASES)}, false) AS INT)), 6) AS empty_rate, round(avg(CAST(n > 0 AS INT)), 6) AS citation_rate,
+            round(avg(CAST(coalesce({_ANY(evaluation.HEDGE_PHRASES)}, false) AS INT)), 6) AS hedging_rate, round(sum(k) / sum(n), 6) AS grounding_rate FROM g""",
     "dense_topk_filtered": f"""{_dense("status = 'active' AND is_latest = 1 AND label IN (1, 2, 3)")} SELECT * FROM hits""",
     "dense_topk_threshold": f"{_dense(after='score >= 0.3')} SELECT * FROM hits",
     "temporal_search": f"""{_dense("status = 'active' AND effective_date <= '2004-06-30' AND (expiry_date >= '2004-06-30' OR expiry_date IS NULL)")} SELECT * FROM hits""",
@@ -310,7 +322,8 @@ SQL = {
     "feedback_current": f"""{_FB} SELECT session_id, message_id, arg_max(thumbs, event_id) FILTER (kind = 'thumbs') AS last_thumbs,
         {', '.join(f"nullif({_STAR(c)}, -1) AS rating_{c}" for c in ('relevance', 'clarity', 'completeness', 'accuracy', 'overall'))},
         arg_max(comment, event_id) FILTER (kind = 'comment') AS last_comment, max(event_id) AS last_event_id FROM f GROUP BY session_id, message_id""",
-    "feedback_valid": f"{_FB} SELECT kind, true AS valid, count(*) AS n FROM f GROUP BY kind",
+    "feedback_valid": f"""{_FB} SELECT kind, CASE kind WHEN 'thumbs' THEN thumbs IN ('up', 'down') WHEN 'star' THEN star_category IN ('relevance', 'clarity', 'completeness', 'accuracy', 'overall') AND coalesce(star_value BETWEEN 0 AND 5, true)
+        ELSE kind IN ('comment', 'clear') END AS valid, count(*) AS n FROM f GROUP BY ALL""",
     "avg_stars_by_category": f"{_FB} SELECT star_category, round(avg(star_value), 2) AS avg_stars, count(*) AS n FROM f WHERE kind = 'star' AND star_value BETWEEN 1 AND 5 GROUP BY star_category",
     "thumbs_down_window": f"{_FB} SELECT session_id, count(*) AS n FROM f WHERE thumbs = 'down' AND created_at >= TIMESTAMP '2024-01-13' AND created_at < TIMESTAMP '2024-01-20' GROUP BY session_id",
     "feedback_preview": f"{_FB} SELECT event_id, substr(comment, 1, 300) AS preview FROM f WHERE kind = 'comment' ORDER BY created_at DESC, event_id DESC LIMIT 200",

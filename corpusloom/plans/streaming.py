@@ -33,18 +33,19 @@ def stream_event_windows(spark, folder):
 
 def stream_event_types(spark, folder):
     events = _stream(spark, folder, "events")
-    return _drain(events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max_by("event_id", "event_id").alias("last_event")), "complete")
+    return _drain(events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max_by("event_id", "ts").alias("last_event")), "complete")
 
 
 def approx_topk(spark, folder):
     c = retrieval._chunks(spark, folder)
-    centroids = ann.fit_cells(c, 16)
+    sample = ann.sample_of(c)
+    centroids = ann.fit_cells(sample, ann.cells_for(c.count()))
     path = ann.build_index(c, centroids)
-    return ann.approximate_top_k(spark, path, centroids, retrieval._queries(c), retrieval.K, 14)
+    return ann.approximate_top_k(spark, path, centroids, retrieval._queries(c), retrieval.K, ann.probes_for(sample, centroids, retrieval.K))
 
 
 QUERIES = {f.__name__: f for f in (stream_event_windows, stream_event_types, approx_topk)}
 SQL = {
     "stream_event_windows": retrieval.SQL["event_windows"],
-    "stream_event_types": "SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY event_type",
+    "stream_event_types": "SELECT event_type, count(*) AS n, arg_max(event_id, ts) AS last_event FROM events GROUP BY event_type",
 }

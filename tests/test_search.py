@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +37,6 @@ def test_dense_against_brute_force(spark):
 def test_blocks_of_queries(spark, monkeypatch):
     x, df = vectors(spark)
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(search._blocks, "__defaults__", (7,))
     q = df.filter("id < 20").withColumnRenamed("id", "query_id")
     got = search.dense_top_k(df, q, 3)
     assert {(r.query_id, r.id) for r in got.collect()} == {(i, j) for i in range(20) for j in brute(x, i, 3)}
@@ -43,21 +44,61 @@ def test_blocks_of_queries(spark, monkeypatch):
 
 def test_recall_of_the_approximate_index(spark):
     x, df = vectors(spark, 2000, 5)
-    centroids = ann.fit_cells(df, 16)
+    sample = ann.sample_of(df)
+    centroids = ann.fit_cells(sample, 16)
     path = ann.build_index(df, centroids)
     assert spark.read.parquet(path).count() == 2000
     q = df.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
     got = {(r.query_id, r.id) for r in ann.approximate_top_k(spark, path, centroids, q, 10, 8).collect()}
     want = {(i, j) for i in range(0, 2000, 100) for j in brute(x, i, 10)}
     assert len(got & want) >= 0.9 * len(want)
+    assert ann.cells_for(2000) == 45 and ann.cells_for(10**12) == 4096 and ann.cells_for(0) == 1
+    assert ann.approximate_top_k(spark, path, centroids, q.limit(0), 10, 8).count() == 0
+
+
+def test_probes_follow_the_clusters(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    clustered = np.repeat(centres, 40, axis=0) + rng.normal(size=(800, 16)) * 0.1
+    loose = rng.normal(size=(800, 16))
+    for x, most in ((clustered, 4), (loose, 28)):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = x[rng.permutation(800)]
+        c = ann.fit_cells(x, ann.cells_for(800))
+        assert ann.probes_for(x, c, 10) <= most
+    assert ann.probes_for(np.zeros((0, 4)), np.zeros((0, 4)), 10) == 1
+
+
+def test_recall_of_the_registered_query(spark, data):
+    from corpusloom.plans import retrieval, streaming
+
+    got, want = ({(r.query_id, r.id) for r in q(spark, data).collect()} for q in (streaming.approx_topk, retrieval.dense_topk))
+    assert want and len(got & want) >= 0.9 * len(want)
+
+
+def test_sparse_blocks_and_repeated_indices(spark, monkeypatch):
+    rows = [(i, [1, 2, i % 5 + 3], [1.0, 0.5 * i, 2.0]) for i in range(40)] + [(98, [1, 1], [1.0, 2.0]), (99, None, None), (97, [], [])]
+    df = spark.createDataFrame(rows, "id bigint, indices array<bigint>, values array<double>")
+    q = df.filter("id < 12 OR id >= 97").withColumnRenamed("id", "query_id")
+    whole = {tuple(r) for r in search.sparse_vector_top_k(df, q, 4).collect()}
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert {tuple(r) for r in search.sparse_vector_top_k(df.repartition(4), q, 4).collect()} == whole
+
+    def product(a, b):
+        return sum(w * v for t, w in zip(*a) for u, v in zip(*b) if t == u)
+
+    known = {i: (t, w) for i, t, w in rows if t}
+    for i in (0, 5, 98):
+        best = sorted(((round(product(known[i], x), 6), -j) for j, x in known.items()), reverse=True)[:4]
+        assert {(r[1], r[2]) for r in whole if r[0] == i} == {(-j, s) for s, j in best}
 
 
 def test_sparse_against_brute_force(spark):
-    docs = [(1, "a b b c"), (2, "B c d"), (3, "x"), (4, None), (5, ""), (6, "a b b c"), (7, "b " * 500)]
+    docs = [(1, "a b b c"), (2, "B, c. d"), (3, "x"), (4, None), (5, ""), (6, "a b b c"), (7, "b " * 500)]
     queries = [(1, "b c"), (2, "nada"), (3, None)]
     got = search.sparse_top_k(spark.createDataFrame(docs, "id bigint, text string"), spark.createDataFrame(queries, "query_id bigint, text string"), 3).collect()
     q = search.term_weights(["b", "c"])
-    score = {i: round(sum(w * q.get(t, 0) for t, w in search.term_weights(t_.lower().split()).items()), 6) for i, t_ in docs if t_}
+    score = {i: round(sum(w * q.get(t, 0) for t, w in search.term_weights(re.findall(r"\w+", t_.lower())).items()), 6) for i, t_ in docs if t_}
     assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == sorted(((i, s) for i, s in score.items() if s > 0), key=lambda p: (-p[1], p[0]))[:3]
 
 
