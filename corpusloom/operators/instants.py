@@ -2,7 +2,8 @@
 
 Raw strings repeat, so they are first reduced to a dictionary of distinct values (with kind, zone and order of day and
 month); each entry is parsed once, by trying every known format; the dictionary is kept as a table to which later runs
-add unseen values only; rows get their normal form by a join with it.
+add unseen values only, each run in a folder of its own that counts once it is complete, so that runs at the same time do
+no harm; rows get their normal form by a join with it.
 
 Defined results for odd input: null, blank, incomplete and impossible values denote nothing and get no row; a zone that is
 unknown counts as UTC; a null order of day and month counts as day first; repeated rows give one row of the result.
@@ -10,17 +11,21 @@ unknown counts as UTC; a null order of day and month counts as day first; repeat
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
+import sys
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize, scratch_path, skew_safe_join
+from corpusloom.runtime import delete_path, materialize, shared_dir, skew_safe_join
 
 MONTHS = {
     name: i
@@ -41,7 +46,7 @@ ZONES = {
     "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "art": -180,
 }
 TIME = r"(?P<H>\d{1,2})(?::|h)(?P<M>\d{2})(?:(?::|m(?:in)?)(?P<S>\d{2})s?(?:[.,]\d+)?)?h?"
-OFFSET = r"(?:\s*(?P<off>[+-]\d{2}(?::?\d{2})?|[a-z]{1,5}(?:[+-]\d{1,2})?))?"
+OFFSET = r"(?:\s*(?P<off>[+-]\d{2}(?::?\d{2})?|[a-z]{1,5}(?:[+-]\d{1,2})?(?![a-z/_])))?(?:\s*\[?(?P<tz>[a-z]+(?:/[a-z0-9_+-]+)+)\]?)?"
 ISO = r"(?P<Y>\d{4})(?P<sep>[-/.])(?P<m>\d{1,2})(?P=sep)(?P<d>\d{1,2})"
 NUMERIC = r"(?P<a>\d{1,2})(?P<sep>[-/.])(?P<b>\d{1,2})(?P=sep)(?P<y>\d{4}|\d{2})"
 NAMED = r"(?P<d>\d{1,2})(?:\s*[ºo°ª]|\.|st|nd|rd|th)?(?:\s+de\s+|\s+of\s+|\s*-\s*|\s+|/)(?P<mon>[a-zç]{3,10})\.?(?:\s+de\s+|\s*-\s*|,?\s+|/)(?P<y>\d{4}|\d{2})"
@@ -62,8 +67,13 @@ def _zone(name: str | None):
         return timezone.utc
 
 
+@lru_cache(maxsize=1)
+def _zone_names() -> dict[str, str]:
+    return {n.lower(): n for n in available_timezones()}
+
+
 def _parts(raw: str, month_first: bool):
-    """Calendar day, time of day (or None) and offset text (or None) of a written date; None if it isn't one."""
+    """Calendar day, whether there is a time of day, and offset and zone id (or None) of a written date; None if it isn't one."""
     text = re.sub(r"\s+", " ", raw.strip().lower())
     m = COMPACT.fullmatch(text) or next((m for p in DAYS if (m := p.fullmatch(text))), None)
     if not m:
@@ -79,8 +89,8 @@ def _parts(raw: str, month_first: bool):
     y = int(year) if len(year) == 4 else int(year) + (2000 if int(year) < 50 else 1900)
     try:
         if g.get("H") is None:
-            return datetime(y, int(month), int(day)), False, None
-        return datetime(y, int(month), int(day), int(g["H"]), int(g["M"]), int(g["S"] or 0)), True, g.get("off")
+            return datetime(y, int(month), int(day)), False, None, None
+        return datetime(y, int(month), int(day), int(g["H"]), int(g["M"]), int(g["S"] or 0)), True, g.get("off"), g.get("tz")
     except ValueError:
         return None
 
@@ -113,14 +123,16 @@ def parse_instant(raw: str, zone: str | None = None, month_first: bool = False)
             parts = _parts(raw, month_first)
             if not parts or not parts[1]:
                 return None
-            local, _, off = parts
+            local, _, off, named = parts
             if off:
                 delta = _offset(off)
                 if delta is None:
                     return None
                 t = local - delta
+            elif named and named not in _zone_names():
+                return None
             else:
-                t = local.replace(tzinfo=_zone(zone)).astimezone(timezone.utc)
+                t = local.replace(tzinfo=_zone(_zone_names()[named] if named else zone)).astimezone(timezone.utc)
     except (OverflowError, ValueError):
         return None
     return t.strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
@@ -144,17 +156,42 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     return entries.select(*KEYS).mapInArrow(run, ENTRY)
 
 
+def dictionary_path(spark: SparkSession) -> str:
+    """Where the dictionary lies by default: in the shared folder, under a name that changes with the rules of this module."""
+    rules = hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:12]
+    return f"{shared_dir(spark)}/corpusloom-instants-{rules}"
+
+
+def _complete(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a dictionary that were written to their end."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    p = fs_path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(x.toString() for x in found if fs.exists(fs_path(x, "_SUCCESS")))
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """All entries at ``path``, each once: two runs at the same time may both have parsed a value, with the same result."""
+    parts = _complete(spark, path)
+    if not parts:
+        return spark.createDataFrame([], ENTRY)
+    rows = spark.read.schema(ENTRY).parquet(*parts)
+    return rows if len(parts) == 1 else rows.distinct()
+
+
 def extend_dictionary(spark: SparkSession, path: str, values: DataFrame) -> DataFrame:
     """The dictionary at ``path`` after adding what it lacks of ``values`` (distinct entries); only that is parsed."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    known = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    new = values.join(spark.read.schema(ENTRY).parquet(path), KEYS, "left_anti") if known else values
-    parse_entries(new).write.mode("append").parquet(path)
-    return spark.read.schema(ENTRY).parquet(path)
+    parts = _complete(spark, path)
+    new = values.join(dictionary(spark, path), KEYS, "left_anti") if parts else values
+    folder = f"{path}/{uuid.uuid4().hex}"
+    parse_entries(new).write.parquet(folder)
+    if parts and spark.read.schema(ENTRY).parquet(folder).isEmpty():
+        delete_path(spark, folder)
+    return dictionary(spark, path)
 
 
-def normalise(documents: DataFrame, registry: DataFrame, days: list[str], instants: list[str], dictionary: str | None = None) -> DataFrame:
+def normalise(documents: DataFrame, registry: DataFrame, days: list[str], instants: list[str], path: str | None = None) -> DataFrame:
     """``(doc_id, field_name, raw, normal_value)`` for each value that denotes a day or an instant.
 
     Both the zone and the order of day and month come from ``registry`` (a fixed table, one row per source). Hot raw
@@ -180,8 +217,9 @@ def normalise(documents: DataFrame, registry: DataFrame, days: list[str], instan
         )
     )
     counts = materialize(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "values")
-    path = dictionary or scratch_path(spark, "instants")
-    entries = extend_dictionary(spark, path, counts.select(*KEYS)).filter(F.col("normal_value").isNotNull())
+    known = extend_dictionary(spark, path or dictionary_path(spark), counts.select(*KEYS))
+    # the dictionary may hold far more than this table's values
+    entries = materialize(known.filter(F.col("normal_value").isNotNull()).join(counts.select(*KEYS), KEYS, "left_semi"), "entries")
     return skew_safe_join(rows, entries, counts, KEYS).select("doc_id", "field_name", "raw", "normal_value")
 
 

@@ -179,7 +179,10 @@ def first_seen(df: DataFrame, key, order: list[str]) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Write beside ``path`` first, then move: a failed write leaves the old table whole (SNK-06, SNK-08)."""
+    """Write beside ``path`` first, then move: a failed write leaves the old table whole (SNK-06, SNK-08).
+
+    Between the two renames a reader finds no table, and a crash there leaves the old one as ``path.old``, which the next call
+    puts back first. Tables that are read all the time want generations and a manifest, as the history has them."""
     spark = df.sparkSession
     staged = scratch_path(spark, "staged")
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(staged)
@@ -187,6 +190,8 @@ def replace_table(df: DataFrame, path: str, partition_by: str | None = None) ->
     new, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
     old = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
     fs = target.getFileSystem(conf)
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)
     fs.delete(old, True)
     if fs.exists(target):
         fs.rename(target, old)

@@ -22,7 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else a local one (tests only)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only a local session without one gets a folder
+    of its machine; on a cluster that is an error, as executors would not see each other's files."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -30,14 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="corpusloom-")
     sc.setCheckpointDir(f"file://{local}")
     return f"file://{local}"
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the session's part of the shared folder."""
+    return f"{_session_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this session's queries wrote on the way. Results that were not read yet need it."""
+    delete_path(spark, _session_dir(spark))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

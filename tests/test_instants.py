@@ -1,6 +1,6 @@
 import pytest
 
-from corpusloom.operators.instants import changed_values, extend_dictionary, normalise, parse_day, parse_instant
+from corpusloom.operators.instants import changed_values, dictionary, extend_dictionary, normalise, parse_day, parse_instant
 from corpusloom.runtime import scratch_path
 
 
@@ -32,7 +32,7 @@ SP, NY, LX = "America/Sao_Paulo", "America/New_York", "Europe/Lisbon"
         # twice: the first; skipped: the offset before the change
         ("2018-02-17 23:30:00", SP, False, "2018-02-18T01:30:00Z"), ("2018-11-04 00:30:00", SP, False, "2018-11-04T03:30:00Z"), ("2019-11-03 01:30:00", NY, False, "2019-11-03T05:30:00Z"),
         ("2019-03-10 02:30:00", NY, False, "2019-03-10T07:30:00Z"), ("2020-10-25 01:30:00", LX, False, "2020-10-25T00:30:00Z"),
-        ("25:61", SP, False, None), ("n/d", SP, False, None), ("desconhecido", SP, False, None), ("2020-01-01", SP, False, None), ("2020-01-01 10:00 XYZ", SP, False, None), ("", None, False, None),
+        ("25:61", SP, False, None), ("n/d", SP, False, None), ("desconhecido", SP, False, None), ("2020-01-01", SP, False, None), ("2020-01-01 10:00 XYZ", SP, False, None), ("2024-07-02 10:00 Europe/Lisbon", SP, False, "2024-07-02T09:00:00Z"), ("2024-01-02T10:00:00[America/New_York]", SP, False, "2024-01-02T15:00:00Z"), ("2024-01-02T10:00:00+01:00[Europe/Paris]", SP, False, "2024-01-02T09:00:00Z"), ("2024-01-02 10:00 No/Where", SP, False, None), ("", None, False, None),
     ],
 )
 def test_instants(raw, zone, month_first, instant):
@@ -47,11 +47,16 @@ def test_rows_and_incremental_dictionary(spark):
     out = normalise(docs, registry, ["effective_date", "expiry_date"], ["scraped_at"], path)
     assert {tuple(r) for r in changed_values(out).collect()} == {
         ("a", "effective_date", "2020-02-01"), ("a", "scraped_at", "2020-01-01T03:00:00Z"), ("b", "effective_date", "2020-01-02"), ("c", "scraped_at", "2017-03-22T14:27:33Z"), (None, "effective_date", "2020-01-02")}
-    n = spark.read.parquet(path).count()
+    n = dictionary(spark, path).count()
     again = normalise(docs, registry, ["effective_date", "expiry_date"], ["scraped_at"], path)
-    assert spark.read.parquet(path).count() == n and again.count() == out.count()
+    assert dictionary(spark, path).count() == n and again.count() == out.count()
     extend_dictionary(spark, path, spark.createDataFrame([("day", "3.4.2021", "", False), ("day", "01/02/2020", "", False)], "kind string, raw string, zone string, month_first boolean"))
-    assert spark.read.parquet(path).count() == n + 1
+    assert dictionary(spark, path).count() == n + 1
+    # a run at the same time that parsed the same values, and one that didn't end
+    spark.read.parquet(path + "/*").limit(3).write.parquet(f"{path}/other")
+    spark.read.parquet(path + "/*").limit(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/broken")
+    assert dictionary(spark, path).count() == n + 1
+    assert normalise(docs, registry, ["effective_date", "expiry_date"], ["scraped_at"], path).count() == out.count()
 
 
 def test_empty(spark):
