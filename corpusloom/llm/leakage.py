@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialize
+from corpusloom.runtime import materialize, scratch_path
 
 _word = re.compile(r"[^\W_]+").findall
 _marks = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
-#: Tokens of a block, about; a text is never divided. Empty positions between two texts, more than any passage has words.
+#: Tokens of a block, about; a text is never divided. Empty positions between two texts, more than a proximity window spans.
 BLOCK_TOKENS, GAP = 1_000_000, 4096
+#: Items searched at once, which bounds what the driver and a broadcast hold.
+ITEM_BLOCK = 10_000
 #: Terms of a proximity match that must agree before all others are looked at. Any number up to ``length`` finds all matches.
 NEAR_LEAST = 5
 
@@ -132,13 +134,10 @@ def _within(sorted_values: np.ndarray, wanted: np.ndarray, slack: int) -> np.nda
     return np.where(np.abs(found - wanted) <= slack, found, -1)
 
 
-def longest_runs(hits: np.ndarray) -> np.ndarray:
-    """Longest run of true values in each row."""
-    best = run = np.zeros(hits.shape[0], np.int32)
-    for column in hits.T:
-        run = np.where(column, run + 1, 0)
-        best = np.maximum(best, run)
-    return best
+def runs_of(hits: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """``(end, length)`` of the runs of at least ``least`` true values; the end is that of the last one."""
+    edges = np.flatnonzero(np.diff(np.r_[False, hits, False].astype(np.int8)))
+    return [(int(z) - 1, int(z - a)) for a, z in zip(edges[::2], edges[1::2]) if z - a >= least]
 
 
 def anchors(passage: list[str], frequency: dict[str, int], length: int) -> list[int]:
@@ -185,11 +184,10 @@ def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarra
         candidates = np.unique(np.concatenate(begin)) if begin else empty
         if candidates.size:
             hits = np.stack([_member(lists.get(w, empty), candidates + p) for p, w in enumerate(passage)], axis=1)
-            runs = longest_runs(hits)
-            for k in np.flatnonzero(runs >= length):
-                own = np.flatnonzero(hits[k])
-                # the document in which the matching words are, which may begin after the passage's own start
-                keep(candidates[k] + int(own[len(own) // 2]), item, (True, int(runs[k])))
+            for k in np.flatnonzero(hits.sum(axis=1) >= length):
+                # a run is in one document, as there are empty positions between two; those of a long passage may be in several
+                for end, n in runs_of(hits[k], length):
+                    keep(candidates[k] + end, item, (True, n))
         # offsets that occur within slack places of a start, in any window of twice the length
         near = near_starts(lists, passage, near_offsets(passage, frequency, length, least), slack, least)
         if near.size:
@@ -197,9 +195,8 @@ def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarra
             width = min(2 * length, len(passage))
             total = np.cumsum(np.pad(places >= 0, ((0, 0), (1, 0))), axis=1)
             sums = total[:, width:] - total[:, :-width]
-            for k in np.flatnonzero(sums.max(axis=1) >= length):
-                # all words of a window are in one document, which may begin after the passage's own start
-                s = int(sums[k].argmax())
+            # all words of a window are in one document, which may begin after the passage's own start
+            for k, s in zip(*np.nonzero(sums >= length)):
                 keep(int(places[k, s : s + width].max()), item, (False, int(sums[k, s])))
     return [(doc, item, "phrase" if phrase else "proximity", n) for (doc, item), (phrase, n) in best.items()]
 
@@ -207,10 +204,30 @@ def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarra
 def find_leaks(index: DataFrame, items: DataFrame, length: int = 13, slack: int = 3, item: str = "item_id", passage: str = "passage") -> DataFrame:
     """``(doc_id, item_id, match_kind, n_words)`` of all texts of the index that hold a part of a test item.
 
-    ``items`` is the evaluation set, a small table by nature; its size is what the driver and the broadcast hold.
+    The items are searched in blocks of ``ITEM_BLOCK``, one of which the driver holds at a time; the result of each of several
+    blocks is written before the next is read.
     """
+    if 2 * (length + slack) >= GAP:
+        raise ValueError(f"a proximity window of {2 * (length + slack)} places would reach over the {GAP} between two texts")
     spark = index.sparkSession
-    passages = [(r[0], words(r[1])) for r in items.select(item, passage).dropna().distinct().collect()]
+    given = items.select(F.col(item).alias("item"), F.col(passage).alias("passage")).dropna().distinct()
+    blocks = -(-given.count() // ITEM_BLOCK)
+    if blocks <= 1:
+        return _search(index, given.collect(), length, slack)
+    placed = given.withColumn("block", F.pmod(F.xxhash64("item", "passage"), F.lit(2 * blocks)))
+    path = scratch_path(spark, "leaks")
+    for k in range(2 * blocks):
+        _search(index, placed.filter(F.col("block") == k).collect(), length, slack).write.mode("append").parquet(path)
+    return _best_match(spark.read.parquet(path))
+
+
+def _best_match(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("match_kind") == "phrase", "n_words", "match_kind")).alias("b")).select("doc_id", "item_id", "b.match_kind", "b.n_words")
+
+
+def _search(index: DataFrame, items: list, length: int, slack: int) -> DataFrame:
+    spark = index.sparkSession
+    passages = [(r[0], words(r[1])) for r in items]
     terms = spark.createDataFrame([(w,) for w in sorted({w for _, p in passages for w in p})], "term string")
     wanted = index.join(F.broadcast(terms), "term", "left_semi").unionByName(index.filter(F.col("term").isNull()))
     frequency = {r["term"]: r["n"] for r in wanted.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -229,8 +246,7 @@ def find_leaks(index: DataFrame, items: DataFrame, length: int = 13, slack: int
 
     # a block has about BLOCK_TOKENS tokens, which bounds its lists
     blocks = wanted.select("block", "term", "positions", "documents")
-    found = blocks.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(list(run(iter(t.to_batches())))), "doc_id bigint, item_id bigint, match_kind string, n_words int")
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("match_kind") == "phrase", "n_words", "match_kind")).alias("b")).select("doc_id", "item_id", "b.match_kind", "b.n_words")
+    return _best_match(blocks.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(list(run(iter(t.to_batches())))), "doc_id bigint, item_id bigint, match_kind string, n_words int"))
 
 
 def leaks(documents: DataFrame, items: DataFrame, length: int = 13, slack: int = 3) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -137,3 +138,32 @@ def test_data(spark, data):
     d, i = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "eval_items"))
     wanted = brute([tuple(r) for r in d.select("doc_id", "text").collect()], [tuple(r) for r in i.select("item_id", "passage").collect()])
     assert {(r.doc_id, r.item_id) for r in leaks(d, i, slack=0).collect() if r.match_kind == "phrase"} == wanted
+
+
+def test_a_passage_longer_than_the_gap_meets_several_documents(spark):
+    rng = random.Random(9)
+    passage = [f"p{rng.randint(0, 10**6)}" for _ in range(leakage.GAP + 200)]
+    # both documents stand in the block as the passage has them: the gap between them is that between the parts
+    first, second = passage[:60], passage[60 + leakage.GAP : 60 + leakage.GAP + 80]
+    d = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second)), (3, "nada " * 30)], "doc_id bigint, text string").coalesce(1)
+    i = spark.createDataFrame([(7, " ".join(passage))], "item_id bigint, passage string")
+    assert {(r.doc_id, r.match_kind, r.n_words) for r in leaks(d, i).collect()} == {(1, "phrase", 60), (2, "phrase", 80)}
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    docs, items = sample(4)
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    whole = {tuple(r) for r in leaks(d, i).collect()}
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 6)
+    assert {tuple(r) for r in leaks(d, i).collect()} == whole
+
+
+def test_windows_stay_within_the_gap(spark):
+    index = spark.createDataFrame([], leakage.INDEX)
+    items = spark.createDataFrame([(1, "a b")], "item_id bigint, passage string")
+    with pytest.raises(ValueError):
+        leakage.find_leaks(index, items, length=leakage.GAP // 2)
+
+
+def test_runs():
+    assert leakage.runs_of(np.array([1, 1, 0, 1, 1, 1], bool), 2) == [(1, 2), (5, 3)] and leakage.runs_of(np.zeros(4, bool), 1) == [] and leakage.runs_of(np.zeros(0, bool), 1) == []
