@@ -1,9 +1,9 @@
 """Lines repeated across the documents of one source, found as templates of fixed-depth token trees.
 
-All rows of a document lie in one block. Each block files its lines in a tree: source, number of tokens and the first tokens
-lead to a leaf, whose templates take in similar lines by turning differing tokens into wildcards. A template that covers fewer
-than the wanted share of the block's documents of its source is dropped: a line that is frequent over all blocks must be
-frequent in at least one of them, so nothing is lost. What the blocks keep is added up by leaf; leaves that can't reach the
+All rows of a document lie in one block. Each block lists the documents of every line and files the lines that are in the
+wanted share of its documents of the source in a tree: source, number of tokens and the first tokens lead to a leaf,
+whose templates take in similar lines by turning differing tokens into wildcards. A line that is frequent over all blocks
+must be frequent in at least one of them, so nothing is lost, and a tree stays small whatever the texts. What the blocks keep is added up by leaf; leaves that can't reach the
 share and number wanted are dropped too. The few templates left are merged into one tree; a second pass counts the
 lines that match it exactly, over all documents.
 
@@ -14,9 +14,10 @@ for nothing; a document in several rows counts once; empty texts have no lines;
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +27,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from corpusloom.runtime import materialize
 
 WILD = "\x00*"
-#: First tokens of a line that lead to a leaf; share of equal tokens that a template must have; templates of a leaf.
-DEPTH, LIKENESS, MAX_TEMPLATES = 3, 0.6, 4096
-#: Documents of a block of a partition.
-BLOCK = 20_000
+#: First tokens of a line that lead to a leaf; share of equal tokens that a template must have.
+DEPTH, LIKENESS = 3, 0.6
+#: Documents, and characters, of a block of a partition; a document is never divided.
+BLOCK, BLOCK_CHARS = 20_000, 50_000_000
+#: Templates or lines that the driver and a broadcast hold; more are taken in groups of sources.
+MOST_LINES = 200_000
 _digits = re.compile(r"[0-9]+")
 
 
@@ -39,7 +42,6 @@ def normal_lines(content: str) -> list[str]:
 
 
 def enough_letters(line: str, least: int) -> bool:
-    # most lines are told by their length or their whole words; letters are counted in the rest only
     return len(line) >= least and sum(map(str.isalpha, line)) >= least
 
 
@@ -47,23 +49,19 @@ class TemplateTree:
     """Templates of one or more partitions; a template is a tuple of tokens with wildcards."""
 
     def __init__(self) -> None:
-        self.leaves: dict[tuple, list[list]] = defaultdict(list)  # leaf -> [[tokens, coverage, last document]]
-        self.memo: dict[tuple[str, str], list] = {}
+        self.leaves: dict[tuple, list[list]] = defaultdict(list)  # leaf -> [[tokens, documents]]
 
     @staticmethod
     def leaf(source: str, tokens: list[str] | tuple[str, ...]) -> tuple:
         # tokens with digits vary and don't lead anywhere
         return (source, len(tokens), *(WILD if "#" in t else t for t in tokens[:DEPTH]))
 
-    def file(self, source: str, line: str) -> list:
-        """The template that takes the line in, made or generalised as needed."""
-        known = self.memo.get((source, line))
-        if known is not None:
-            return known
+    def file(self, source: str, line: str, documents: list[int]) -> list:
+        """The template that takes the line in, made or generalised as needed, with the documents it covers."""
         tokens = line.split(" ")
         entries = self.leaves[self.leaf(source, tokens)]
         best, most = None, -1
-        if len(tokens) > DEPTH or len(entries) >= MAX_TEMPLATES:
+        if len(tokens) > DEPTH:
             need = LIKENESS * len(tokens)
             for e in entries:
                 same = sum(map(str.__eq__, e[0], tokens))
@@ -71,22 +69,14 @@ class TemplateTree:
                     best, most = e, same
                     if same == len(tokens):
                         break
-        if best is None and len(entries) >= MAX_TEMPLATES:
-            # a full leaf files what is new under one template that takes everything
-            best = entries[-1]
         if best is None:
-            best = [tuple(tokens), 0, None]
+            best = [tuple(tokens), set()]
             entries.append(best)
         elif best[0] != tuple(tokens):
             best[0] = tuple(a if a == b else WILD for a, b in zip(best[0], tokens))
-        self.memo[source, line] = best
+        best[1].update(documents)
         return best
 
-    def cover(self, source: str, line: str, document: object) -> None:
-        e = self.file(source, line)
-        if e[2] != document:
-            e[1], e[2] = e[1] + 1, document
-
 
 def _fits(template: tuple[str, ...], tokens: list[str]) -> bool:
     return all(a == b or a is WILD or a == WILD for a, b in zip(template, tokens))
@@ -98,18 +88,20 @@ def least_coverage(min_share: float, n: int) -> float:
 
 
 def local_templates(df: DataFrame, min_share: float, min_letters: int, block: int = BLOCK) -> DataFrame:
-    """Templates that cover ``min_share`` or more of some block's documents of their source: ``(block, source, leaf, template,
-    coverage, n)``, and a row with null leaf for each source of a block with the number ``n`` of its documents.
-
-    A line's template covers all documents of the block that have the line, however it is generalised later.
+    """Templates of the lines that are in ``min_share`` or more of some block's documents of their source: ``(block, source, leaf,
+    template, coverage, n)``, and a row with null leaf for each source of a block with the number ``n`` of its documents.
     """
 
-    def frequent(name: int, tree: TemplateTree, sizes: dict[str, int]) -> pa.RecordBatch:
+    def frequent(name: int, lines: dict[str, dict[str, list[int]]], sizes: dict[str, int]) -> pa.RecordBatch:
+        tree = TemplateTree()
+        for source, own in lines.items():
+            least = least_coverage(min_share, sizes[source])
+            for line, documents in own.items():
+                if len(documents) >= least and enough_letters(line, min_letters):
+                    tree.file(source, line, documents)
         found = [(name, s, None, None, 0, n) for s, n in sizes.items()]
         for leaf, entries in tree.leaves.items():
-            n = sizes[leaf[0]]
-            least = least_coverage(min_share, n)
-            found += [(name, leaf[0], " ".join(map(str, leaf[1:])), " ".join(e[0]), e[1], n) for e in entries if e[1] >= least]
+            found += [(name, leaf[0], " ".join(map(str, leaf[1:])), " ".join(e[0]), len(e[1]), sizes[leaf[0]]) for e in entries]
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 6, kinds)], names=["block", "source", "leaf", "template", "coverage", "n"])
 
@@ -117,21 +109,26 @@ def local_templates(df: DataFrame, min_share: float, min_letters: int, block: in
         from pyspark import TaskContext
 
         name = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        tree, sizes, n, last, own = TemplateTree(), defaultdict(int), 0, None, set()
+        lines, sizes, n, chars, last, own = defaultdict(dict), defaultdict(int), 0, 0, None, set()
         for b in batches:
             for doc, source, text in zip(*(c.to_pylist() for c in b.columns)):
                 if doc != last:
-                    if n == block:
-                        yield frequent(name, tree, sizes)
-                        name, tree, sizes, n = name + 1, TemplateTree(), defaultdict(int), 0
+                    if n == block or chars >= BLOCK_CHARS:
+                        yield frequent(name, lines, sizes)
+                        name, lines, sizes, n, chars = name + 1, defaultdict(dict), defaultdict(int), 0, 0
                     last, own, n = doc, set(), n + 1
                 if source not in own:
                     own.add(source)
                     sizes[source] += 1
+                chars += len(text)
+                known = lines[source]
                 for line in set(normal_lines(text)):
-                    if enough_letters(line, min_letters):
-                        tree.cover(source, line, doc)
-        yield frequent(name, tree, sizes)
+                    documents = known.get(line)
+                    if documents is None:
+                        known[line] = [n]
+                    elif documents[-1] != n:
+                        documents.append(n)
+        yield frequent(name, lines, sizes)
 
     # the rows of a document follow each other in one partition
     return df.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, "block long, source string, leaf string, template string, coverage long, n long")
@@ -183,29 +180,43 @@ def in_tree(tree: dict, source: str, line: str) -> bool:
     return any(_fits(t, tokens) for first in (tokens[0], WILD) for t in level.get(first, ()))
 
 
+def by_sources(df: DataFrame, lists: DataFrame, source: str, run: Callable[[DataFrame, list], DataFrame]) -> DataFrame:
+    """The union of ``run`` over groups of sources of which ``lists`` has about ``MOST_LINES`` rows each; one group if it has fewer.
+    Rows without a source are in the first group."""
+    groups = max(1, -(-lists.count() // MOST_LINES))
+    if groups == 1:
+        return run(df, lists.collect())
+    group = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(groups)), F.lit(0))
+    parts = [run(df.filter(F.when(F.col(source).isNull(), 0).otherwise(group(source)) == g), lists.filter(group("source") == g).collect()) for g in range(groups)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def repeated_lines(df: DataFrame, min_share: float = 0.1, min_docs: int = 5, min_letters: int = 15, doc: str = "doc_id", source: str = "source", content: str = "content") -> DataFrame:
     """``(source, line_text, n_docs)`` of the lines in at least ``min_share`` of their source's documents and in at least
     ``min_docs`` of them."""
     rows = df.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(content).alias("content")).dropna()
     # what the blocks keep may be long where sources are small; only leaves that can reach the share come to the driver
     local = materialize(local_templates(rows, min_share, min_letters), "templates")
-    found = [tuple(r) for r in global_templates(local, min_share, min_docs).distinct().collect()]
-    leaves = merge_templates(found)
-    tree = rows.sparkSession.sparkContext.broadcast(matching_tree(leaves))
+    found = materialize(global_templates(local, min_share, min_docs).distinct(), "found")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, sources, lines = [], [], []
-            for d, s, text in zip(*(c.to_pylist() for c in b.columns)):
-                for line in set(normal_lines(text)):
-                    if in_tree(tree.value, s, line) and enough_letters(line, min_letters):
-                        docs.append(d)
-                        sources.append(s)
-                        lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (map(str, docs), sources, lines)], names=["doc", "source", "line_text"])
+    def matches(rows: DataFrame, templates: list) -> DataFrame:
+        tree = rows.sparkSession.sparkContext.broadcast(matching_tree(merge_templates([tuple(r) for r in templates])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                docs, sources, lines = [], [], []
+                for d, s, text in zip(*(c.to_pylist() for c in b.columns)):
+                    for line in set(normal_lines(text)):
+                        if in_tree(tree.value, s, line) and enough_letters(line, min_letters):
+                            docs.append(d)
+                            sources.append(s)
+                            lines.append(line)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (map(str, docs), sources, lines)], names=["doc", "source", "line_text"])
+
+        return rows.mapInArrow(run, "doc string, source string, line_text string")
 
+    hits = by_sources(rows, found, "source", matches)
     # distinct pairs first, then counts: both pre-aggregate, and a line of a hot source is spread over its documents
-    hits = rows.mapInArrow(run, "doc string, source string, line_text string")
     counts = hits.distinct().groupBy("source", "line_text").agg(F.count(F.lit(1)).alias("n_docs"))
     sizes = rows.select("source", "doc").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
     return (
@@ -218,23 +229,26 @@ def repeated_lines(df: DataFrame, min_share: float = 0.1, min_docs: int = 5, min
 def without_lines(df: DataFrame, lines: DataFrame, source: str = "source", content: str = "content") -> DataFrame:
     """``df`` with ``clean_content``: each content without its source's repeated lines. Null contents stay null."""
     lists = materialize(lines.select("source", "line_text"), "lines")
-    # at most lines-per-document / min_share lines of a source: bounded, whatever the number of documents
-    found: dict[str, set[str]] = defaultdict(set)
-    for r in lists.collect():
-        found[r["source"]].add(r["line_text"])
-    shared = df.sparkSession.sparkContext.broadcast(dict(found))
     df = df.drop("clean_content")
     schema = StructType([*df.schema.fields, StructField("clean_content", StringType())])
     at, src = df.columns.index(content), df.columns.index(source)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for s, text in zip(b.column(src).to_pylist(), b.column(at).to_pylist()):
-                drop = shared.value.get(s)
-                if text and drop:
-                    text = "\n".join(raw for raw, line in zip(text.split("\n"), normal_lines(text)) if line not in drop)
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "clean_content"])
-
-    return df.mapInArrow(run, schema)
+    def cleaned(rows: DataFrame, own: list) -> DataFrame:
+        found: dict[str, set[str]] = defaultdict(set)
+        for r in own:
+            found[r["source"]].add(r["line_text"])
+        shared = rows.sparkSession.sparkContext.broadcast(dict(found))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for s, text in zip(b.column(src).to_pylist(), b.column(at).to_pylist()):
+                    drop = shared.value.get(s)
+                    if text and drop:
+                        text = "\n".join(raw for raw, line in zip(text.split("\n"), normal_lines(text)) if line not in drop)
+                    out.append(text)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "clean_content"])
+
+        return rows.mapInArrow(run, schema)
+
+    return by_sources(df, lists, source, cleaned)

@@ -91,6 +91,23 @@ def test_data(spark, data):
 
 def test_templates_generalise():
     t = boilerplate.TemplateTree()
-    for name in ("ana", "rui", "eva"):
-        t.cover("s", f"última conferência feita por {name} em #/#/#", name)
-    assert [[(" ".join(e[0]), e[1]) for e in entries] for entries in t.leaves.values()] == [[(f"última conferência feita por {boilerplate.WILD} em #/#/#", 3)]]
+    for k, name in enumerate(("ana", "rui", "eva")):
+        t.file("s", f"última conferência feita por {name} em #/#/#", [k, 7])
+    assert [[(" ".join(e[0]), e[1]) for e in entries] for entries in t.leaves.values()] == [[(f"última conferência feita por {boilerplate.WILD} em #/#/#", {0, 1, 2, 7})]]
+
+
+def test_groups_of_sources(spark, monkeypatch):
+    rows = sample(500, 5) + [("n", None, "x" * 30 + "\n" + "y" * 20)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, content string").repartition(3)
+    wanted = brute(rows)
+    whole = {(r.doc_id, r.clean_content) for r in without_lines(df, repeated_lines(df)).collect()}
+    monkeypatch.setattr(boilerplate, "MOST_LINES", 1)
+    lines = repeated_lines(df)
+    assert {(r.source, r.line_text) for r in lines.collect()} == wanted and len({s for s, _ in wanted}) > 1
+    assert {(r.doc_id, r.clean_content) for r in without_lines(df, lines).collect()} == whole
+
+
+def test_blocks_by_size(spark, monkeypatch):
+    rows = [(f"d{i}", "a", f"Linha repetida do portal\n{'texto próprio ' * 20}{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc string, source string, content string").coalesce(1)
+    assert boilerplate.local_templates(df, 0.1, 15, block=7).filter("leaf IS NULL").count() > 60 // 7
