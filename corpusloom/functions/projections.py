@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.dates import MONTHS
 from corpusloom.functions.ids import TYPE_CODES, WS, first_filled, squeeze
 
-#: Plural labels of document types, folders by a part of the type, and words of a question that name a filter.
+#: Plural labels of document types, folders by a part of the type, words of a question that name a filter, and phrases that ask for
+#: an order.
 TYPE_LABELS = {
     "Lei": "Leis", "Lei Complementar": "Leis Complementares", "Decreto": "Decretos", "Decreto-Lei": "Decretos-Lei", "Medida Provisória": "Medidas Provisórias",
     "Portaria": "Portarias", "Portaria Conjunta": "Portarias Conjuntas", "Resolução": "Resoluções", "Instrução Normativa": "Instruções Normativas",

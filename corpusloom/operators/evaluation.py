@@ -28,6 +28,7 @@ HEDGE_PHRASES = [
     r"pelo meu conhecimento",
     r"de modo geral",
 ]
+#: How answers cite, in brackets or without.
 CITATION = r"\[([A-ZÁÉÍÓÚÂÊÔÃÕÇa-z][A-ZÁÉÍÓÚÂÊÔÃÕÇa-z.]{2,12}\s+[\d./-]+(?:-art\d+(?:-\d+)?)?)\]"
 LOOSE_CITATION = (
     r"(?i)((?:ICA|DCA|MCA|PCA|TCA|FCA|OCA|NSCA|RCA|ROCA|RICA|NPA|CIRCEA|BCA|BMA|IMA|RIMA|RMA)"

@@ -23,6 +23,8 @@ from corpusloom.runtime import all_of, materialize, scratch_path
 
 #: Queries scored at once, which bounds the broadcast.
 QUERY_BLOCK = 4096
+#: Pairs of a batch's rows and queries from which a term is scored in a matrix, and terms of one matrix.
+DENSE_PAIRS, DENSE_TERMS = 2000, 1024
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 #: Fields that filters may name, and those that are instants.
 FIELDS = ("status", "is_latest", "effective_date", "expiry_date", "version_year", "canonical_id", "regulation_id", "article_number", "type", "authority", "number", "label")
@@ -169,10 +171,19 @@ def _scored_terms(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: i
     order = np.argsort(terms, kind="stable")
     rows, terms, weights = rows[order], terms[order], weights[order]
     starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if terms.size else np.zeros(0, np.int64)
-    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), terms.size]):
-        q, w = lists[terms[a]]
-        # a row has a term once
-        scores[np.ix_(rows[a:z], q)] += np.outer(weights[a:z], w)
+    spans = [(a, z, *lists[terms[a]]) for a, z in zip(starts.tolist(), [*starts[1:].tolist(), terms.size])]
+    # terms with many pairs as a product of matrices, the others by their pairs
+    many = [x for x in spans if (x[1] - x[0]) * x[2].size > DENSE_PAIRS]
+    for i in range(0, len(many), DENSE_TERMS):
+        part = many[i : i + DENSE_TERMS]
+        left, right = np.zeros((n, len(part))), np.zeros((len(part), names.size))
+        for j, (a, z, q, w) in enumerate(part):
+            left[rows[a:z], j], right[j, q] = weights[a:z], w
+        scores += left @ right
+    for a, z, q, w in spans:
+        if (z - a) * q.size <= DENSE_PAIRS:
+            # a row has a term once
+            scores[np.ix_(rows[a:z], q)] += np.outer(weights[a:z], w)
     return _hits(*_best_of_batch(np.round(scores, digits), ids, names, k, 10**-digits))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import content_hash, uuid_of
-from corpusloom.runtime import all_of, materialize, scratch_path, skew_safe_join
+from corpusloom.runtime import all_of, hot_keys, materialize, scratch_path
 
 
 def latest_incoming(incoming: DataFrame, key: str, order: str) -> DataFrame:
@@ -75,14 +75,13 @@ def cascade_delete(documents: DataFrame, log: DataFrame, relations: DataFrame, s
 
 def with_lookup(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """``rows`` with the columns of ``lookup`` (unique on ``key``), nulls where it has none; hot keys don't clog the join."""
+    extra, types = [c for c in lookup.columns if c != key], dict(lookup.dtypes)
     known = rows.filter(F.col(key).isNotNull())
-    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    extra = [c for c in lookup.columns if c != key]
-    types = dict(lookup.dtypes)
-    # keys without an entry get one of nulls, so that the inner join keeps their rows
-    whole = counts.select(key).join(lookup, key, "left")
-    joined = skew_safe_join(known, whole, counts, [key])
-    return joined.unionByName(rows.filter(F.col(key).isNull()).withColumns({c: F.lit(None).cast(types[c]) for c in extra})).select(*rows.columns, *extra)
+    hot = hot_keys(known.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [key])
+    few = known.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(lookup.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    rest = known.join(F.broadcast(hot), key, "left_anti").join(lookup, key, "left")
+    blank = rows.filter(F.col(key).isNull()).withColumns({c: F.lit(None).cast(types[c]) for c in extra})
+    return few.unionByName(rest).unionByName(blank).select(*rows.columns, *extra)
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -172,7 +172,10 @@ def trace_explode(spark, folder):
 
 
 def _feedback(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
+    return feedback_events(table(spark, folder, "events"))
+
+
+def feedback_events(e: DataFrame) -> DataFrame:
     t = F.col("event_type")
     categories = F.array(*(F.lit(c) for c in feedback.CATEGORIES))
     k = F.get_json_object("props", "$.k").cast("int")

@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from pyspark.sql import SparkSession
 
-    from corpusloom.runtime import ship
+    from corpusloom.runtime import clear_scratch, ship
 
     session = (
         SparkSession.builder.master("local[4]")
@@ -25,6 +25,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
+    clear_scratch(session)
     session.stop()
 
 
