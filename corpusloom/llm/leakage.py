@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,33 @@ def decode(blob: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat((data & 127).astype(np.int64) << (7 * shift), first))
 
 
+class Codes(dict):
+    """Codes of the words of what stands between two blanks, each resolved once; ``terms`` are the words by code."""
+
+    #: Chunks held before the tables are begun anew.
+    FULL = 1_000_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.terms: list[str] = []
+        self.index: dict[str, int] = {}
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        out = []
+        for w in words(chunk):
+            code = self.index.get(w)
+            if code is None:
+                code = self.index[w] = len(self.terms)
+                self.terms.append(w)
+            out.append(code)
+        self[chunk] = found = tuple(out)
+        return found
+
+    def read(self, text: str) -> np.ndarray:
+        # blanks end words, and no form of a word reaches over one
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
+
+
 INDEX = "block string, term string, n int, positions binary, documents binary"
 
 
@@ -78,13 +106,14 @@ def build_index(df: DataFrame, key: str = "doc_id", text: str = "text", block_to
     """The positional index of whole texts: one row per block and term, and per block one row with the null term that has
     the documents' ids (``documents``, as int64) and first positions."""
 
-    def block_rows(number: int, ids: list[int], starts: list[int], tokens: list[np.ndarray], vocabulary: dict[str, int]) -> pa.RecordBatch:
-        place = np.concatenate([s + np.arange(t.size) for s, t in zip(starts, tokens)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        codes = np.concatenate(tokens or [np.zeros(0, np.int32)])
+    def block_rows(number: int, ids: list[int], starts: list[int], tokens: list[np.ndarray], known: Codes) -> pa.RecordBatch:
+        place = np.concatenate([s + np.arange(t.size) for s, t in zip(starts, tokens)])
+        codes = np.concatenate(tokens)
         order = np.argsort(codes, kind="stable")
-        counts = np.bincount(codes, minlength=len(vocabulary))
-        ends = np.cumsum(counts)
-        place = place[order]
+        place, codes = place[order], codes[order]
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        ends = np.r_[first[1:], codes.size]
+        counts, vocabulary = ends - first, [known.terms[c] for c in codes[first].tolist()]
         name = f"{ids[0] if ids else 0}-{number}-{len(ids)}"
         terms, ns = [None, *vocabulary], [len(ids), *counts.tolist()]
         blobs = [encode(np.array(starts, np.int64)), *(encode(place[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist()))]
@@ -98,23 +127,23 @@ def build_index(df: DataFrame, key: str = "doc_id", text: str = "text", block_to
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        number, ids, starts, tokens, vocabulary, size, at = 0, [], [], [], {}, 0, 0
+        number, ids, starts, tokens, size, at, known = 0, [], [], [], 0, 0, Codes()
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = words(t)
-                if i is None or not found:
+                codes = known.read(t)
+                if i is None or not codes.size:
                     continue
-                codes = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), np.int32, len(found))
                 ids.append(i)
                 starts.append(at)
                 tokens.append(codes)
-                at += len(found) + GAP
-                size += len(found)
+                at += codes.size + GAP
+                size += codes.size
                 if size >= block_tokens:
-                    yield block_rows(part * 100_000 + number, ids, starts, tokens, vocabulary)
-                    number, ids, starts, tokens, vocabulary, size, at = number + 1, [], [], [], {}, 0, 0
+                    yield block_rows(part * 100_000 + number, ids, starts, tokens, known)
+                    number, ids, starts, tokens, size, at = number + 1, [], [], [], 0, 0
+                    known = Codes() if len(known) > Codes.FULL else known
         if ids:
-            yield block_rows(part * 100_000 + number, ids, starts, tokens, vocabulary)
+            yield block_rows(part * 100_000 + number, ids, starts, tokens, known)
 
     return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).mapInArrow(run, INDEX)
 
@@ -167,8 +196,8 @@ def near_starts(lists: dict[str, np.ndarray], passage: list[str], offsets: list[
     return np.unique(np.concatenate([(last + d)[last + d <= first] for d in range(2 * slack + 1)]))
 
 
-def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarray, passages: list[tuple[int, list[str]]], frequency: dict[str, int], length: int, slack: int) -> list[tuple[int, int, str, int]]:
-    """``(document, item, kind, words)`` of one block."""
+def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarray, passages: list[tuple[int, list[str]]], frequency: dict[str, int], length: int, slack: int | None) -> list[tuple[int, int, str, int]]:
+    """``(document, item, kind, words)`` of one block; without a slack of phrases only."""
     empty, best = np.zeros(0, np.int64), {}
 
     def keep(where: int, item: int, value: tuple[bool, int]) -> None:
@@ -188,6 +217,8 @@ def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarra
                 # a run is in one document, as there are empty positions between two; those of a long passage may be in several
                 for end, n in runs_of(hits[k], length):
                     keep(candidates[k] + end, item, (True, n))
+        if slack is None:
+            continue
         # offsets that occur within slack places of a start, in any window of twice the length
         near = near_starts(lists, passage, near_offsets(passage, frequency, length, least), slack, least)
         if near.size:
@@ -201,13 +232,14 @@ def match_block(lists: dict[str, np.ndarray], starts: np.ndarray, ids: np.ndarra
     return [(doc, item, "phrase" if phrase else "proximity", n) for (doc, item), (phrase, n) in best.items()]
 
 
-def find_leaks(index: DataFrame, items: DataFrame, length: int = 13, slack: int = 3, item: str = "item_id", passage: str = "passage") -> DataFrame:
-    """``(doc_id, item_id, match_kind, n_words)`` of all texts of the index that hold a part of a test item.
+def find_leaks(index: DataFrame, items: DataFrame, length: int = 13, slack: int | None = 3, item: str = "item_id", passage: str = "passage") -> DataFrame:
+    """``(doc_id, item_id, match_kind, n_words)`` of all texts of the index that hold a part of a test item; with ``slack`` None
+    phrases only.
 
     The items are searched in blocks of ``ITEM_BLOCK``, one of which the driver holds at a time; the result of each of several
     blocks is written before the next is read.
     """
-    if 2 * (length + slack) >= GAP:
+    if slack is not None and 2 * (length + slack) >= GAP:
         raise ValueError(f"a proximity window of {2 * (length + slack)} places would reach over the {GAP} between two texts")
     spark = index.sparkSession
     given = items.select(F.col(item).alias("item"), F.col(passage).alias("passage")).dropna().distinct()
@@ -225,7 +257,7 @@ def _best_match(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("match_kind") == "phrase", "n_words", "match_kind")).alias("b")).select("doc_id", "item_id", "b.match_kind", "b.n_words")
 
 
-def _search(index: DataFrame, items: list, length: int, slack: int) -> DataFrame:
+def _search(index: DataFrame, items: list, length: int, slack: int | None) -> DataFrame:
     spark = index.sparkSession
     passages = [(r[0], words(r[1])) for r in items]
     terms = spark.createDataFrame([(w,) for w in sorted({w for _, p in passages for w in p})], "term string")
@@ -249,6 +281,6 @@ def _search(index: DataFrame, items: list, length: int, slack: int) -> DataFrame
     return _best_match(blocks.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(list(run(iter(t.to_batches())))), "doc_id bigint, item_id bigint, match_kind string, n_words int"))
 
 
-def leaks(documents: DataFrame, items: DataFrame, length: int = 13, slack: int = 3) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, length: int = 13, slack: int | None = 3) -> DataFrame:
     """Index the texts (written to the shared folder) and search all items in it."""
     return find_leaks(materialize(build_index(documents), "index"), items, length, slack)

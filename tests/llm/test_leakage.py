@@ -56,6 +56,7 @@ def test_phrases_against_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in found if r.match_kind == "phrase"} == brute(docs, items)
     assert len({(r.doc_id, r.item_id) for r in found}) == len(found)
     assert {(r.doc_id, r.item_id) for r in leaks(d, i, slack=0).collect() if r.match_kind == "phrase"} == brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in leaks(d, i, slack=None).collect()} == brute(docs, items)
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
 
 
@@ -167,3 +168,10 @@ def test_windows_stay_within_the_gap(spark):
 
 def test_runs():
     assert leakage.runs_of(np.array([1, 1, 0, 1, 1, 1], bool), 2) == [(1, 2), (5, 3)] and leakage.runs_of(np.zeros(4, bool), 1) == [] and leakage.runs_of(np.zeros(0, bool), 1) == []
+
+
+@given(st.text(alphabet="ab é\u00a0\u00a8´ﬁß_-.1½\n\u0301\u2028", max_size=40))
+def test_chunks_have_the_words_of_the_text(text):
+    codes = leakage.Codes()
+    for _ in range(2):
+        assert [codes.terms[c] for c in codes.read(text)] == words(text)
