@@ -185,15 +185,15 @@ def _parsed(x: str) -> str:
     return f"coalesce(CASE WHEN regexp_full_match({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN {x} END, {iso(part(spelled, 3), month, day)}, {iso(year, pick(1, 2), pick(2, 1))})"
 
 
-_BARE = lambda p: p.replace("(?iu)", "")
+_PLAIN = lambda p: p.replace("(?iu)", "")
 SQL = {
     "numeric_dates": rf"""WITH d AS (SELECT doc_id, [{_parsed('x')} for x in regexp_extract_all(content, '{dates.NUMERIC}')] AS p FROM store_documents), k AS (SELECT doc_id, [x for x in p if x IS NOT NULL] AS dates FROM d)
         SELECT DISTINCT doc_id, array_to_string(dates, ',') AS dates FROM k WHERE len(dates) > 0""",
     "validity_dates": rf"""WITH d AS (SELECT DISTINCT doc_id, content, effective_date FROM store_documents),
-        m AS (SELECT *, {', '.join(f"nullif(regexp_extract(content, '(?i){_BARE(p)}', 1), '') AS e{i}" for i, p in enumerate(dates.EFFECTIVE))},
-            {', '.join(f"nullif(regexp_extract(substr(regexp_extract(content, '(?i){_BARE(p)}((?s:.*))$', 1), 1, 100), '{dates.NUMERIC}'), '') AS x{i}" for i, p in enumerate(dates.REVOKED))} FROM d)
-        SELECT doc_id, coalesce({', '.join(_parsed(f'e{i}') for i in range(len(dates.EFFECTIVE)))}, CASE WHEN regexp_matches(content, '(?i){_BARE(dates.ON_PUBLICATION)}') THEN effective_date END) AS effective,
-            coalesce({', '.join(_parsed(f'x{i}') for i in range(len(dates.REVOKED)))}) AS expiry, coalesce({' OR '.join(f"regexp_matches(content, '(?i){_BARE(p)}')" for p in dates.REVOKED)}, false) AS revoked FROM m""",
+        m AS (SELECT *, {', '.join(f"nullif(regexp_extract(content, '(?i){_PLAIN(p)}', 1), '') AS e{i}" for i, p in enumerate(dates.EFFECTIVE))},
+            {', '.join(f"nullif(regexp_extract(substr(regexp_extract(content, '(?i){_PLAIN(p)}((?s:.*))$', 1), 1, 100), '{dates.NUMERIC}'), '') AS x{i}" for i, p in enumerate(dates.REVOKED))} FROM d)
+        SELECT doc_id, coalesce({', '.join(_parsed(f'e{i}') for i in range(len(dates.EFFECTIVE)))}, CASE WHEN regexp_matches(content, '(?i){_PLAIN(dates.ON_PUBLICATION)}') THEN effective_date END) AS effective,
+            coalesce({', '.join(_parsed(f'x{i}') for i in range(len(dates.REVOKED)))}) AS expiry, coalesce({' OR '.join(f"regexp_matches(content, '(?i){_PLAIN(p)}')" for p in dates.REVOKED)}, false) AS revoked FROM m""",
     "content_hash": f"SELECT doc_id, sha256({_SQUEEZE('lower(text)')}) AS content_hash FROM documents",
     "canonical_id": """WITH d AS (SELECT DISTINCT doc_id, doc_type, number, replace(upper(doc_type), ' ', '') AS prefix FROM store_documents),
         p AS (SELECT doc_id, regexp_replace(lower(doc_type), '[^a-z0-9]', '', 'g') AS kind, trim(regexp_replace(lower(CASE WHEN starts_with(replace(upper(number), ' ', ''), prefix) AND length(number) > length(prefix)
