@@ -551,7 +551,7 @@ def best_steps(counts: DataFrame) -> dict[int, tuple[int, int]]:
 def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
     """The model of a corpus; K and the threshold come from the scores, see ``score_documents``."""
     labelled = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    sample = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(labelled), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    sample = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(labelled), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     words = [r[0] for r in terms.select("term").filter("term is not null").distinct().orderBy("term").collect()]
     data = read_labelled([(r["text"], r["toxic"]) for r in sample], words)
     model = seed_model(data, words)
